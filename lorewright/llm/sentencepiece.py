@@ -36,8 +36,8 @@ from ._words import slices
 
 #: The vocabulary; a path that every executor has.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct words kept by a worker; at that number it starts anew.
-CACHE_WORDS = 1_000_000
+#: Distinct words, and pairs of tokens, kept by a worker; at that number it starts anew.
+CACHE_WORDS, CACHE_PAIRS = 200_000, 500_000
 SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -91,8 +91,8 @@ class Codec:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.text = [b.decode("utf-8", "replace") for b in self.bytes]
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, np.ndarray] = {}
+        self._fits: dict[int, bool] = {}
+        self._words: dict[str, bytes] = {}
         self.pieces = pa.array(self.bytes, pa.binary())
 
     def _piece(self, fields: dict) -> None:
@@ -124,15 +124,20 @@ class Codec:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``left`` and ``right`` stay two tokens when their text is merged."""
-        key = (left, right)
+        key = self._number(left) << 32 | self._number(right)
         known = self._fits.get(key)
         if known is None:
-            known = left + right not in self.id and self.merge(left + right) == [left, right] if len(left) + len(right) > 2 else left + right not in self.id
-            if len(self._fits) >= 4 * CACHE_WORDS:
+            known = left + right not in self.id and (len(left) + len(right) == 2 or self.merge(left + right) == [left, right])
+            if len(self._fits) >= CACHE_PAIRS:
                 self._fits.clear()
             self._fits[key] = known
         return known
 
+    def _number(self, token: str) -> int:
+        """A token's id; beyond all ids, a character that has none."""
+        i = self.id.get(token)
+        return len(self.bytes) + ord(token) if i is None else i
+
     def cut(self, word: str) -> list[str]:
         """The pieces of a word by backtracking."""
         if word in self.id and (len(word) < 2 or self.merge(word) == [word]):
@@ -173,14 +178,14 @@ class Codec:
 
     def _whole(self, token: str) -> bool:
         """Whether merging a piece's own text yields the piece."""
-        key = (token, "")
+        key = -1 - self.id[token]
         known = self._fits.get(key)
         if known is None:
             known = self._fits[key] = self.merge(token) == [token]
         return known
 
-    def word_ids(self, word: str) -> np.ndarray:
-        """Ids of one word (blanks written as U+2581, and only in front)."""
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one word (blanks written as U+2581, and only in front) as 32-bit integers."""
         known = self._words.get(word)
         if known is not None:
             return known
@@ -194,7 +199,7 @@ class Codec:
                     ids.extend(self.byte[b] for b in token.encode("utf-8", "replace"))
                 else:
                     ids.append(i)
-        out = np.array(ids, np.int32)
+        out = np.array(ids, np.int32).tobytes()
         if len(word) <= 64:
             if len(self._words) >= CACHE_WORDS:
                 self._words.clear()
@@ -206,7 +211,7 @@ class Codec:
         if not text:
             return []
         whole = SPACE + text.replace(" ", SPACE)
-        return [int(i) for chunk in _CHUNK.findall(whole) for i in self.word_ids(chunk)]
+        return np.frombuffer(b"".join(map(self.word_ids, _CHUNK.findall(whole))), np.int32).tolist()
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(offsets, ids)`` of texts without nulls."""
@@ -221,9 +226,9 @@ class Codec:
         odd = np.zeros(len(texts), bool)
         if len(codes):
             odd[np.repeat(np.arange(len(texts)), np.diff(offsets))[odd_word[codes]]] = True
-        per_word = [self.word_ids(SPACE + w) if not o else np.zeros(0, np.int32) for w, o in zip(words, odd_word)]
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([*per_word, np.zeros(0, np.int32)])))
+        per_word = [b"" if o else self.word_ids(SPACE + w) for w, o in zip(words, odd_word)]
+        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(per_word), np.int32)))
         ids = table.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])[offsets]
         if not odd.any():

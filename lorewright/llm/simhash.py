@@ -44,7 +44,7 @@ BITS, TAU = 128, 19
 SEGMENTS, CHAIN = 16, 4
 QUARTERS, WEAK = 4, 3
 #: Words times bits held at once by the kernel.
-_CELLS = 1 << 23
+_CELLS = 1 << 21
 
 
 def word_bits(words: list[str]) -> np.ndarray:
@@ -89,7 +89,7 @@ def pack(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 2 << 20):
             words, weak = pack(margins(text_column(batch, "text")))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(weak)], names=["doc_id", "hi", "lo", "weak"])
 
