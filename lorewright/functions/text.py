@@ -57,7 +57,9 @@ def tokens(text: Column) -> Column:
         plain = w.rlike("^[a-z0-9_-]+$")
         return F.when(plain & (F.length(w) >= 2), F.array(w)).when(plain, F.array().cast("array<string>")).otherwise(cjk(w))
 
-    return F.flatten(F.transform(words, expand))
+    # Texts without CJK need no expansion, only the ASCII words.
+    plain = F.filter(words, lambda w: w.rlike("^[a-z0-9_-]{2,}$"))
+    return F.when(clean.rlike(f"[{CJK}]"), F.flatten(F.transform(words, expand))).otherwise(plain)
 
 
 def words(text: Column) -> Column:

@@ -36,8 +36,8 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES)
+def _files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") <= MAX_BYTES)
     return rows.select(F.col("path").alias("source"), "content")
 
 
@@ -47,16 +47,16 @@ def _named(rows: DataFrame, doc_type: str, title: Column) -> DataFrame:
 
 def utf8(content: Column) -> Column:
     """Bytes as text, invalid ones replaced."""
-    return F.make_valid_utf8(F.decode(content, "UTF-8"))
+    return F.make_valid_utf8(content.cast("string"))
 
 
-def markdown(spark: SparkSession, path: str) -> DataFrame:
-    rows = _files(spark, path).select("source", utf8(F.col("content")).alias("text"))
+def markdown(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    rows = _files(spark, path, glob).select("source", utf8(F.col("content")).alias("text"))
     return _named(rows, "MARKDOWN", markdown_title(F.col("text"), stem(F.col("source"))))
 
 
-def text(spark: SparkSession, path: str) -> DataFrame:
-    return _named(_files(spark, path).select("source", utf8(F.col("content")).alias("text")), "TXT", stem(F.col("source")))
+def text(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    return _named(_files(spark, path, glob).select("source", utf8(F.col("content")).alias("text")), "TXT", stem(F.col("source")))
 
 
 def inline(rows: DataFrame, source: str = "inline") -> DataFrame:
@@ -171,7 +171,7 @@ def mobi_blocks(content: bytes) -> tuple[str, list[str]]:
     raise NotImplementedError
 
 
-def epub(spark: SparkSession, path: str, unpack: Callable[[bytes], tuple[str, list[str]]] = epub_blocks) -> DataFrame:
+def epub(spark: SparkSession, path: str, glob: str = "*", unpack: Callable[[bytes], tuple[str, list[str]]] = epub_blocks) -> DataFrame:
     """E-books: one chapter of the blocks of 12 characters or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +182,7 @@ def epub(spark: SparkSession, path: str, unpack: Callable[[bytes], tuple[str, li
                 rows.append((source, title, "\n\n".join(x for x in blocks if len(x.strip()) >= MIN_BLOCK)))
             yield pd.DataFrame(rows, columns=["source", "t", "text"])
 
-    rows = _files(spark, path).mapInPandas(run, "source string, t string, text string")
+    rows = _files(spark, path, glob).mapInPandas(run, "source string, t string, text string")
     return _named(rows, "EBOOK", F.when(F.col("t") != "", F.col("t")).otherwise(stem(F.col("source"))))
 
 
@@ -230,8 +230,8 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"unsupported suffixes: {', '.join(bad)}")
     out = None
     for s in sorted(kinds):
-        glob = known[s](spark, path).where(suffix(F.col("source")) == s)
-        out = glob if out is None else out.unionByName(glob)
+        rows = known[s](spark, path, "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
