@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.tables import written
+
 DECAY = 0.7
 
 
@@ -73,7 +75,8 @@ def shortest_path(rel: DataFrame, start: str, goal: str, max_hops: int = 100) ->
                 path = hit.path
                 break
             step = frontier.withColumnRenamed("node", "u").join(edges, "u").select(F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
-            frontier = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).checkpoint()
+            frontier = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+            frontier = written(frontier, "frontier")
             if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)

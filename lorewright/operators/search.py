@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
 from ..schema import INACTIVE
+from ..sources.tables import written
 
 K1, B, EPSILON, RRF_K, ARM = 1.5, 0.75, 0.25, 60, 100
 MIN_COSINE = 0.1
@@ -28,13 +29,17 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
 
+    def saved(self) -> Index:
+        """The index as written tables, so that texts are tokenised once."""
+        return Index(written(self.postings, "postings"), written(self.lengths, "lengths"))
+
     def union(self, other: Index) -> Index:
         """Append units without touching those indexed."""
         return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
 
 
 def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", order: str | None = None) -> Index:
-    base = docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), tokens(F.col(text)).alias("t"))
+    base = written(docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), tokens(F.col(text)).alias("t")), "tokens")
     postings = base.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     return Index(postings, base.select("id", "ord", F.size("t").cast("bigint").alias("dl")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as X
 from ..operators import ability, chunk, evolve, extract, graph, identity, nearpairs, relate, search, store, synthesis
 from ..sources import readers
+from ..sources.tables import scratch
 from ..streaming import crystallize
 from . import views as V
 from .views import CTE
@@ -306,7 +307,7 @@ b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM
 
 
 def _index(spark, sf):
-    return search.index(_docs(spark, sf))
+    return search.index(_docs(spark, sf)).saved()
 
 
 @query(f"WITH {_INDEX} SELECT id, CAST(dl AS BIGINT) AS n_tokens, coalesce(md5(array_to_string(list_sort(t), ' ')), '') AS tokens FROM t JOIN l USING (id)")
@@ -666,36 +667,30 @@ def event_dedup(spark, sf):
     return e.groupBy("dedup_key").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
 
 
+def _local(spark: SparkSession) -> str:
+    import os
+
+    folder = scratch(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of its one file."""
     import os
     import shutil
     import tempfile
 
-    folder = tempfile.mkdtemp(prefix="events-", dir=_scratch(spark))
+    folder = tempfile.mkdtemp(prefix="events-", dir=_local(spark))
     shutil.copy(f"{sf}/events.parquet", folder) if os.path.isfile(f"{sf}/events.parquet") else shutil.copytree(f"{sf}/events.parquet", folder, dirs_exist_ok=True)
     return spark.readStream.schema(V.table(spark, sf, "events").schema).parquet(folder)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is set."""
-    import os
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lorewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    local = folder.removeprefix("file://")
-    os.makedirs(local, exist_ok=True)
-    return local
-
-
 @query(f"SELECT {_KEY} AS dedup_key, 1::BIGINT AS n FROM events GROUP BY 1")
 def stream_event_dedup(spark, sf):
     import uuid
 
-    out = f"{_scratch(spark)}/dedup-{uuid.uuid4().hex}"
+    out = f"{scratch(spark)}/dedup-{uuid.uuid4().hex}"
     rows = crystallize.deduplicated(_stream(spark, sf), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props"))
     q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -706,7 +701,7 @@ def stream_event_dedup(spark, sf):
 def stream_ingest(spark, sf):
     import uuid
 
-    out = f"{_scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    out = f"{scratch(spark)}/ingest-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.tables import read_table
+
 _E = "array<string>"
 
 
+#: Tables whose rows cost enough to be spread over all cores; the others are read as they lie.
+HEAVY = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, sf, name) if name in HEAVY else spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _id(prefix: str, number: Column) -> Column:
