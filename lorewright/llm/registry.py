@@ -7,13 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table as table
 from . import exact_dedup, language, line_dedup, mixing, secrets, sentencepiece, simhash, topk, toxicity, url_filter
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     """The labels table where there is one."""
     return table(spark, sf_dir, "labels") if os.path.exists(f"{sf_dir}/labels.parquet") else None
