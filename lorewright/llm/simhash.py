@@ -130,7 +130,7 @@ def within(x: np.ndarray, y: np.ndarray, tau: int = TAU) -> np.ndarray:
     """Pairs at Hamming distance ``tau`` at most: the pigeonring test, then the full check."""
     out = pigeonring(x, y, tau)
     at = np.flatnonzero(out)
-    out[at] = np.bitwise_count(np.bitwise_xor(x[at], y[at])).sum(axis=1) <= tau
+    out[at] = np.bitwise_count(np.bitwise_xor(x[at], y[at]).view(np.uint64)).sum(axis=1) <= tau
     return out
 
 
