@@ -69,7 +69,7 @@ def quotas(docs_blocks: DataFrame, weights: DataFrame) -> DataFrame:
     beyond = F.max(F.col("weight") / (2 * F.col("available") + 1)).over(Window.partitionBy("shard"))
     # Quotients above the bar: weight / (2k + 1) > bar for k = 0 .. quota - 1.
     quota = F.greatest(F.lit(0), F.least(F.col("available"), F.ceil((F.col("weight") / F.col("_bar") - 1) / 2)))
-    return have.withColumn("_bar", beyond).withColumn("quota", F.coalesce(quota, F.lit(0)).cast("bigint")).drop("_bar")
+    return have.withColumn("_bar", beyond).withColumn("quota", F.when(F.col("weight").isNotNull(), quota).otherwise(0).cast("bigint")).drop("_bar")
 
 
 def select(docs: DataFrame, weights: DataFrame | None = None, block_tokens: int = BLOCK_TOKENS, shards: int | None = None, seed: int = SEED) -> DataFrame:
