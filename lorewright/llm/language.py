@@ -50,6 +50,8 @@ GRAM_PSEUDO, DOMAIN_PSEUDO, HOST_PSEUDO, TABLE_PSEUDO = 0.5, 20.0, 10.0, 1.0
 #: Two-letter suffixes that stand for a language.
 SUFFIX_LANGUAGE = {"uk": "en", "us": "en", "au": "en", "ie": "en", "at": "de", "ch": "de", "mx": "es", "ar": "es", "be": "fr", "en": "en", "de": "de", "fr": "fr", "es": "es"}
 ORDER = 4
+#: Words whose likelihoods a worker keeps.
+CACHE_WORDS = 100_000
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
@@ -61,24 +63,32 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class TextModel:
-    """Languages in order of name, and the log likelihoods of n-grams."""
+    """Languages in order of name, and the log likelihoods of n-grams; the table's last row is for unseen ones."""
 
     languages: list[str]
-    table: dict[str, np.ndarray]
-    unseen: np.ndarray
-
-    def word(self, word: str, cache: dict[str, np.ndarray]) -> np.ndarray:
-        got = cache.get(word)
-        if got is None:
-            if not any(c.isalpha() for c in word):
-                got = np.zeros(len(self.languages))
-            else:
-                own = grams(word)
-                got = sum(self.table.get(g, self.unseen) for g in own) / len(own)
-            if len(cache) >= 1_000_000:
+    grams: dict[str, int]
+    table: np.ndarray
+
+    def words(self, words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
+        """A row per word: the mean over its n-grams; words without a letter give no evidence."""
+        out = np.zeros((len(words), len(self.languages)))
+        new, index, starts = [], [], []
+        get, last = self.grams.get, len(self.grams)
+        for k, word in enumerate(words):
+            known = cache.get(word)
+            if known is not None:
+                out[k] = known
+            elif any(map(str.isalpha, word)):
+                new.append(k)
+                starts.append(len(index))
+                index.extend([get(g, last) for g in grams(word)])
+        if new:
+            sums = np.add.reduceat(self.table[index], starts, axis=0) / np.diff([*starts, len(index)])[:, None]
+            out[new] = sums
+            if len(cache) > CACHE_WORDS:
                 cache.clear()
-            cache[word] = got
-        return got
+            cache.update(zip([words[k] for k in new], sums))
+        return out
 
 
 def visible(html: str) -> str:
@@ -86,23 +96,26 @@ def visible(html: str) -> str:
     return unescape(_DROP.sub(" ", html))
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[tuple[str, str], int] = {}
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 20):
+        for batch in slices(whole, "text"):
             offsets, codes, words = word_codes(text_column(batch, "text"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             language = batch.column(batch.schema.get_field_index("language")).dictionary_encode()
             of = language.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64)
             pair, n = np.unique(of * max(1, len(words)) + codes, return_counts=True)
-            for p, count in zip(pair.tolist(), n.tolist()):
-                word = words[p % len(words)]
-                if any(c.isalpha() for c in word):
-                    name = language.dictionary[p // len(words)].as_py()
-                    for g in grams(word):
-                        totals[(name, g)] = totals.get((name, g), 0) + count
-    if totals:
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals]), pa.array([k[1] for k in totals]), pa.array(list(totals.values()), pa.int64())], names=["language", "gram", "n"])
+            names = language.dictionary.take(pa.array(pair // max(1, len(words))))
+            yield pa.RecordBatch.from_arrays([names, pa.array(words, pa.string()).take(pa.array(pair % max(1, len(words)))), pa.array(n, pa.int64())], names=["language", "word", "n"])
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[tuple[str, str], int] = {}
+    for batch in batches:
+        for name, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if any(map(str.isalpha, word)):
+                for g in grams(word):
+                    totals[(name, g)] = totals.get((name, g), 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.string()), pa.array(list(totals.values()), pa.int64())], names=["language", "gram", "n"])
 
 
 def fit_text(labelled: DataFrame, max_labelled: int = MAX_LABELLED, min_count: int = 3) -> TextModel:
@@ -114,13 +127,14 @@ def fit_text(labelled: DataFrame, max_labelled: int = MAX_LABELLED, min_count: i
         own = known.where(F.col("language") == name).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_labelled).select("doc_id")
         chosen = own if chosen is None else chosen.union(own)
     if chosen is None:
-        return TextModel([], {}, np.zeros(0))
+        return TextModel([], {}, np.zeros((1, 0)))
     # Bounded by max_labelled ids a language whatever the corpus is, hence broadcast.
     sample = labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").where("language IS NOT NULL AND text IS NOT NULL").select("text", "language")
-    counts = sample.mapInArrow(_count_grams, "language string, gram string, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(_count_words, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    counts = words.mapInArrow(_count_grams, "language string, gram string, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") >= min_count).toPandas()  # the n-grams of a bounded sample
     if rows.empty:
-        return TextModel(names, {}, np.zeros(len(names)))
+        return TextModel(names, {}, np.zeros((1, len(names))))
     column = {name: k for k, name in enumerate(names)}
     gram, order = np.unique(rows["gram"].to_numpy(str), return_inverse=True)
     table = np.zeros((len(gram), len(names)))
@@ -132,7 +146,7 @@ def fit_text(labelled: DataFrame, max_labelled: int = MAX_LABELLED, min_count: i
         total = table[own].sum(axis=0) + GRAM_PSEUDO * (own.sum() + 1)
         out[own] = np.log((table[own] + GRAM_PSEUDO) / total)
         unseen.append(np.log(GRAM_PSEUDO / total))
-    return TextModel(names, dict(zip(gram.tolist(), out)), np.mean(unseen, axis=0))
+    return TextModel(names, {g: k for k, g in enumerate(gram.tolist())}, np.vstack([out, np.mean(unseen, axis=0)]))
 
 
 def _evidence(model: TextModel, html: bool):
@@ -145,7 +159,7 @@ def _evidence(model: TextModel, html: bool):
                 if html:
                     texts = pa.array([visible(x) for x in texts.to_pylist()], pa.string())
                 offsets, codes, words = word_codes(texts)
-                scores = np.array([model.word(w, cache) for w in words]).reshape(len(words), k)
+                scores = model.words(words, cache)
                 total = np.zeros((len(texts), k))
                 for a in range(0, len(texts), 256):  # bounds the gathered matrix
                     span = offsets[a : a + 257]
@@ -234,7 +248,7 @@ def identify(docs: DataFrame, pages: DataFrame, labelled: DataFrame | None = Non
     model = fit_text(docs.select("doc_id", "text", F.col("lang").alias("language")) if labelled is None else labelled, max_labelled)
     names = model.languages or ["und"]
     if not model.languages:
-        model = TextModel(names, {}, np.zeros(1))
+        model = TextModel(names, {}, np.zeros((1, 1)))
     none = F.lit(None).cast("string")
     d = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", none.alias("markup"), none.alias("suffix"), F.col("source").alias("host"))
     p = pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("bigint").alias("doc_id"), F.col("html").alias("text"), declared(F.col("html")).alias("markup"), suffix(F.col("url")).alias("suffix"), host(F.col("url")).alias("host"))
