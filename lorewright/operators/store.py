@@ -129,18 +129,22 @@ def delete_relation(rel: DataFrame, rel_id: str) -> DataFrame:
     return rel.where(F.col("rel_id") != rel_id)
 
 
-def allocate_ids(rows: DataFrame, prefix: str, base: int = 0, order: Column | str = "ord") -> DataFrame:
-    """Adds ``new_id``: the prefix and the next numbers in a fixed order.
+def numbered(rows: DataFrame, *order: Column | str, base: int = 0) -> DataFrame:
+    """Adds ``number``: base + 1, base + 2, ... in a fixed order.
 
     Partitions are ranged by the order, numbered inside, and offset by the
     sizes of those before, so no single task sorts all rows.
     """
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")  # a row per partition
-    numbered = ranged.withColumn("_k", local).join(before, "_p")
-    return numbered.withColumn("new_id", F.concat(F.lit(prefix + "_"), F.lpad((F.col("_k") + F.col("_b") + base).cast("string"), 8, "0"))).drop("_p", "_k", "_b")
+    return ranged.withColumn("_k", local).join(before, "_p").withColumn("number", (F.col("_k") + F.col("_b") + base).cast("bigint")).drop("_p", "_k", "_b")
+
+
+def allocate_ids(rows: DataFrame, prefix: str, base: int = 0, order: Column | str = "ord") -> DataFrame:
+    """Adds ``new_id``: the prefix and the next numbers in a fixed order."""
+    return numbered(rows, order, base=base).withColumn("new_id", F.concat(F.lit(prefix + "_"), F.lpad(F.col("number").cast("string"), 8, "0"))).drop("number")
 
 
 class Store:

@@ -71,11 +71,8 @@ class Engine:
         raw, links = extract.package(found, docs, domain)
         old = self.units()
         base = old.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
-        order = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "ku_id"))
-        starts = raw.groupBy("doc_id").agg(F.count("*").alias("n"))
-        starts = starts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row per document
         claim = F.when(F.col("ku_type") == "Claim", "pending")
-        new = raw.join(starts, "doc_id").select("ku_id", "ku_type", "name", "summary", "confidence", "status", "domain", F.array().cast("array<string>").alias("tags"), "sources", F.struct(claim.alias("claim_status"), "supports", F.when(F.col("ku_type") == "Concept", F.col("summary")).alias("definition"), F.when(F.col("ku_type").isin("Fact", "Claim"), F.col("summary")).alias("statement"), F.lit("").alias("source_text")).alias("extra"), (F.lit(base) + F.col("start") + order).cast("bigint").alias("ord"), F.col("doc_id").cast("string").alias("doc_id"))
+        new = store.numbered(written(raw, "packaged"), "doc_id", "ord", "ku_id", base=base - 1).select("ku_id", "ku_type", "name", "summary", "confidence", "status", "domain", F.array().cast("array<string>").alias("tags"), "sources", F.struct(claim.alias("claim_status"), "supports", F.when(F.col("ku_type") == "Concept", F.col("summary")).alias("definition"), F.when(F.col("ku_type").isin("Fact", "Claim"), F.col("summary")).alias("statement"), F.lit("").alias("source_text")).alias("extra"), F.col("number").alias("ord"), F.col("doc_id").cast("string").alias("doc_id"))
         new = written(new.join(old.select("ku_id"), "ku_id", "left_anti").select(*old.columns), "new-units")
         found_edges = relate.discover(new, old.where("status = 'active'")).drop("rule").unionByName(links.drop("doc_id")).distinct()
         edges = found_edges.select(F.concat_ws(":", "rel_type", "from_ku", "to_ku").alias("rel_id"), "from_ku", "to_ku", "rel_type", "weight", F.abs(F.xxhash64("from_ku", "to_ku", "rel_type")).alias("ord"))
