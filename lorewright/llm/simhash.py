@@ -1,24 +1,28 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A document's fingerprint is a 128-bit SimHash of its words, each weighted by
-the cube root of its count.  Two documents are near copies if their
-fingerprints differ in at most ``TAU`` bits.
+A document's fingerprint is a 256-bit SimHash of its words, each weighted by
+the cube root of its count (in eighths, so that sums are exact and equal texts
+have equal fingerprints).  Two documents are near copies if their fingerprints
+differ in at most ``TAU`` bits.
 
-Candidates share one of four 32-bit quarters, up to the bits that are least
-certain: of each quarter a document gives the value itself and those with any
+Candidates share one of eight 32-bit blocks, up to the bits that are least
+certain: of each block a document gives the value itself and those with any
 of its three bits of smallest margin turned, for near copies differ just
-there.  A candidate must then pass the pigeonring test: the ring of 16
+there.  A candidate must then pass the pigeonring test: the ring of 32
 segments of 8 bits must have a chain of ``CHAIN`` consecutive segments each of
-whose prefixes of l segments differs in at most l * TAU / 16 bits.  Every pair
+whose prefixes of l segments differs in at most l * TAU / 32 bits.  Every pair
 within ``TAU`` has such a chain, so the test loses nothing; what passes gets
-the full Hamming check.  Only the search of quarters is approximate (recall
+the full Hamming check.  Only the search by blocks is approximate (recall
 against brute force is measured in the tests).
 
 Equal fingerprints are collapsed first, so copies cost nothing.  A bucket's
 pairs are explored as a spanning forest: a document that is already reached is
-not compared with its own group again, whatever the bucket's size.  Groups are
-the connected components of the pairs, found by alternating large and small
-stars, with a written table per round.
+not compared with its own group again, whatever the bucket's size.  Connected
+components are found by alternating large and small stars, with a written
+table per round.  A component is then divided by leaders: the lowest id leads,
+takes what lies within ``RADIUS`` bits, the lowest id left leads next, and so
+on; so a chain of documents that share a passage, each with the next, does not
+make one group of unlike ends.
 
 Defined results: null texts and rows with a null id are groups of their own
 and always kept; texts without a word are hashed whole, so empty texts form
@@ -38,75 +42,73 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import written
-from ._words import segment_sum, slices, text_column, word_codes
+from ._words import slices, text_column, word_codes
 
-BITS, TAU = 128, 19
-SEGMENTS, CHAIN = 16, 4
-QUARTERS, WEAK = 4, 3
-#: Words times bits held at once by the kernel.
-_CELLS = 1 << 21
+BITS, TAU, RADIUS = 256, 40, 50
+WORDS = ("f0", "f1", "f2", "f3")
+SEGMENTS, CHAIN = 32, 4
+BLOCKS, WEAK = 8, 3
+#: Words of a text that the kernel gathers at once.
+_GATHER = 8192
 
 
 def word_bits(words: list[str]) -> np.ndarray:
-    """±1 rows of the words' 128-bit hashes."""
-    raw = b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words)
-    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(words), 16), axis=1).astype(np.float32) * 2 - 1
+    """Rows of 0 and 1: the words' 256-bit hashes."""
+    raw = b"".join(xxhash.xxh3_128_digest(w, seed) for w in (x.encode("utf-8", "surrogatepass") for x in words) for seed in (0, 1))
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(words), BITS // 8), axis=1).astype(np.float32)
 
 
 def margins(texts: pa.Array) -> np.ndarray:
     """Per text the signed sum of every bit."""
     offsets, codes, words = word_codes(texts)
-    rows = len(texts)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    base = max(1, len(words))
-    pair, count = np.unique(row * base + codes, return_counts=True)
+    rows, base = len(texts), max(1, len(words))
+    pair, count = np.unique(np.repeat(np.arange(rows), np.diff(offsets)) * base + codes, return_counts=True)
     row, code = pair // base, pair % base
-    bits = word_bits(words) if words else np.zeros((0, BITS), np.float32)
-    weight = np.cbrt(count).astype(np.float32)
+    bits = word_bits(words)
+    weight = np.rint(8 * np.cbrt(count)).astype(np.float32)
     offsets = np.searchsorted(row, np.arange(rows + 1))
     out = np.zeros((rows, BITS))
-    step = _CELLS // BITS
-    start = 0
-    while start < rows:
-        # As many whole texts as fit; one long text by itself.
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + step, "right")) - 1)
-        a, b = offsets[start], offsets[end]
-        out[start:end] = segment_sum(bits[code[a:b]] * weight[a:b, None], offsets[start : end + 1] - a)
-        start = end
+    for i in range(rows):
+        for a in range(offsets[i], offsets[i + 1], _GATHER):
+            b = min(a + _GATHER, offsets[i + 1])
+            out[i] += weight[a:b] @ bits[code[a:b]]
+    totals = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
+    out = 2 * out - (totals[offsets[1:]] - totals[offsets[:-1]])[:, None]
     for i in np.flatnonzero(np.diff(offsets) == 0):
-        out[i] = word_bits([texts[int(i)].as_py()])[0]
+        out[i] = 2 * word_bits([texts[int(i)].as_py()])[0] - 1
     return out
 
 
 def pack(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) fingerprints as int64, and the places of each quarter's weakest bits, 5 bits each."""
+    """(n, 4) fingerprints as int64, and (n, 2) places of each block's weakest bits, 5 bits each."""
     words = np.packbits(z >= 0, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-    quarter = np.abs(z).reshape(len(z), QUARTERS, BITS // QUARTERS)
-    weakest = np.argsort(quarter, axis=2, kind="stable")[:, :, :WEAK].reshape(len(z), -1)
-    shifts = 5 * np.arange(QUARTERS * WEAK)
-    return words, ((31 - weakest).astype(np.int64) << shifts).sum(axis=1)
+    blocks = np.abs(z).reshape(len(z), BLOCKS, BITS // BLOCKS)
+    weakest = np.argsort(blocks, axis=2, kind="stable")[:, :, :WEAK].reshape(len(z), 2, -1)
+    return words, ((31 - weakest).astype(np.int64) << (5 * np.arange(BLOCKS * WEAK // 2))).sum(axis=2)
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             words, weak = pack(margins(text_column(batch, "text")))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(weak)], names=["doc_id", "hi", "lo", "weak"])
+            own = [batch.column(batch.schema.get_field_index("doc_id")), *map(pa.array, words.T.copy()), *map(pa.array, weak.T.copy())]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", *WORDS, "weak0", "weak1"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, hi, lo, weak) of the rows that have an id and a text."""
+    """(doc_id, f0 .. f3, weak0, weak1) of the rows that have an id and a text."""
     rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprint, "doc_id bigint, hi bigint, lo bigint, weak bigint")
+    return rows.mapInArrow(_fingerprint, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*WORDS, "weak0", "weak1")))
 
 
 def _keys() -> Column:
-    """The 4 x 8 bucket keys of a fingerprint: quarter number, then the quarter with weak bits turned."""
+    """The 8 x 8 bucket keys of a fingerprint: block number, then the block with weak bits turned."""
     keys = []
-    for q in range(QUARTERS):
-        half = F.col("hi" if q < 2 else "lo")
-        value = F.shiftrightunsigned(half, 32) if q % 2 == 0 else half.bitwiseAND(F.lit((1 << 32) - 1))
-        flips = [F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(weak, {5 * (q * WEAK + w)}) & 31 AS INT))") for w in range(WEAK)]
+    for q in range(BLOCKS):
+        word = F.col(WORDS[q // 2])
+        value = F.shiftrightunsigned(word, 32) if q % 2 == 0 else word.bitwiseAND(F.lit((1 << 32) - 1))
+        place = [divmod(q * WEAK + w, BLOCKS * WEAK // 2) for w in range(WEAK)]
+        flips = [F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(weak{half}, {5 * k}) & 31 AS INT))") for half, k in place]
         for mask in range(1 << WEAK):
             key = value
             for w in range(WEAK):
@@ -117,7 +119,7 @@ def _keys() -> Column:
 
 
 def pigeonring(x: np.ndarray, y: np.ndarray, tau: int = TAU) -> np.ndarray:
-    """Which pairs of fingerprints, (n, 2) int64 each, have a viable chain."""
+    """Which pairs of fingerprints, (n, 4) int64 each, have a viable chain."""
     d = np.bitwise_count(np.bitwise_xor(x, y).view(np.uint8)).astype(np.int32).reshape(-1, SEGMENTS)
     viable, total = np.ones(d.shape, bool), np.zeros(d.shape, np.int32)
     for length in range(1, CHAIN + 1):
@@ -142,7 +144,7 @@ def forest(ids: np.ndarray, prints: np.ndarray, tau: int = TAU) -> list[tuple[np
         stack, left = [left[0]], left[1:]
         while stack and len(left):
             at = stack.pop()
-            near = within(np.broadcast_to(prints[at], (len(left), 2)).copy(), prints[left], tau)
+            near = within(np.broadcast_to(prints[at], (len(left), len(WORDS))), prints[left], tau)
             if near.any():
                 found = left[near]
                 edges.append((np.full(len(found), ids[at]), ids[found]))
@@ -169,8 +171,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     for batch in batches:
-        key, ids, hi, lo = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "id", "hi", "lo"))
-        prints = np.ascontiguousarray(np.stack([hi, lo], axis=1))
+        key, ids, *words = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "id", *WORDS))
+        prints = np.stack(words, axis=1)
         if rest:
             key, ids, prints = np.concatenate([rest[0], key]), np.concatenate([rest[1], ids]), np.concatenate([rest[2], prints])
         if not len(key):
@@ -185,7 +187,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, that connect near copies among distinct fingerprints."""
-    keyed = nodes.select(F.explode(_keys()).alias("key"), "id", "hi", "lo")
+    keyed = nodes.select(F.explode(_keys()).alias("key"), "id", *WORDS)
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "a bigint, b bigint").distinct()
 
 
@@ -206,13 +208,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _leaders(key: tuple, table: pa.Table) -> pa.Table:
+    """Divide a component: the lowest id left leads those within the radius."""
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids)
+    ids = ids[order]
+    prints = np.stack([table.column(c).to_numpy() for c in WORDS], axis=1)[order]
+    leader, left = ids.copy(), np.arange(len(ids))
+    while len(left):
+        near = np.bitwise_count((prints[left] ^ prints[left[0]]).view(np.uint64)).sum(axis=1) <= RADIUS
+        leader[left[near]] = ids[left[0]]
+        left = left[~near]
+    return pa.table({"id": ids, "leader": leader})
+
+
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, rows) of every row that is in a group, also of one."""
     prints = written(fingerprints(docs), "simhash")
-    nodes = written(prints.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "weak")).alias("m")).select(F.col("m.doc_id").alias("id"), "hi", "lo", F.col("m.weak").alias("weak")), "simhash-nodes")
+    nodes = prints.groupBy(*WORDS).agg(F.min(F.struct("doc_id", "weak0", "weak1")).alias("m"))
+    nodes = written(nodes.select(F.col("m.doc_id").alias("id"), *WORDS, F.col("m.weak0").alias("weak0"), F.col("m.weak1").alias("weak1")), "simhash-nodes")
     roots = components(near_pairs(nodes))
-    whole = nodes.join(roots, "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("keep_id"))
-    return prints.join(whole, ["hi", "lo"]).groupBy("doc_id", "keep_id").agg(F.count("*").alias("rows"))
+    roots = roots.union(roots.select(F.col("root").alias("id"), "root")).distinct()
+    led = nodes.join(roots, "id").select("root", "id", *WORDS).groupBy("root").applyInArrow(_leaders, "id bigint, leader bigint")
+    whole = nodes.join(led, "id", "left").select(*WORDS, F.coalesce("leader", "id").alias("keep_id"))
+    return prints.join(whole, list(WORDS)).groupBy("doc_id", "keep_id").agg(F.count("*").alias("rows"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -25,10 +25,11 @@ def test_stages(spark):
     out = corpus_pipeline.exact_dedup(spark, out, SF).cache()
     assert out.columns == COLUMNS and {r.doc_id: r for r in out.collect()} == want
 
-    from test_dedup import close_pairs, prints_of, roots
+    from test_dedup import close_pairs, led, prints_of, roots
 
     at = sorted(want)
-    root = roots(len(at), close_pairs(prints_of([want[i].text for i in at])[0]))
+    words = prints_of([want[i].text for i in at])[0]
+    root = led(words, roots(len(at), close_pairs(words)))
     out = corpus_pipeline.near_dedup(spark, out, SF).cache()
     kept = {r.doc_id for r in out.collect()}
     brute = {at[k] for k in set(root)}
