@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import written
-from ._words import slices, text_column, word_codes
+from ._words import mix64, slices, text_column, word_codes
 
 BITS, TAU, RADIUS = 256, 40, 50
 WORDS = ("f0", "f1", "f2", "f3")
@@ -153,15 +153,43 @@ def forest(ids: np.ndarray, prints: np.ndarray, tau: int = TAU) -> list[tuple[np
     return edges
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges inside runs of equal keys of a sorted stream."""
-    rest: list[np.ndarray] = []
+def _runs(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of a stream sorted by the first of them, cut so that no run of its equal values is divided."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        own = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+        rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own)]
+        if len(rest[0]):
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))
+            yield [x[:cut] for x in rest]
+            rest = [x[cut:] for x in rest]
+    if rest:
+        yield rest
+
+
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(key)])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the keys that several documents give, under a signature of the member set."""
+    for key, ids in _runs(("key", "id"), batches):
+        starts, sizes = _starts(key)
+        if len(starts):
+            signature = mix64(np.add.reduceat(mix64(ids.astype(np.uint64)), starts) ^ sizes.astype(np.uint64))
+            full = np.repeat(sizes > 1, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(signature, sizes)[full].astype(np.int64)), pa.array(ids[full])], names=["bucket", "id"])
 
-    def edges(key: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(key)])
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges inside the buckets of a sorted stream."""
+    for key, ids, *words in _runs(("bucket", "id", *WORDS), batches):
+        prints = np.stack(words, axis=1)
+        starts, sizes = _starts(key)
         two = starts[sizes == 2]
-        near = two[within(prints[two], prints[two + 1])] if len(two) else two
+        near = two[within(prints[two], prints[two + 1])]
         found = [(ids[near], ids[near + 1])]
         for a, n in zip(starts[sizes > 2], sizes[sizes > 2]):
             found += forest(ids[a : a + n], prints[a : a + n])
@@ -170,25 +198,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    for batch in batches:
-        key, ids, *words = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "id", *WORDS))
-        prints = np.stack(words, axis=1)
-        if rest:
-            key, ids, prints = np.concatenate([rest[0], key]), np.concatenate([rest[1], ids]), np.concatenate([rest[2], prints])
-        if not len(key):
-            continue
-        # The last run may go on in the next batch.
-        cut = int(np.searchsorted(key, key[-1]))
-        yield from edges(key[:cut], ids[:cut], prints[:cut])
-        rest = [key[cut:], ids[cut:], prints[cut:]]
-    if rest:
-        yield from edges(*rest)
-
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, that connect near copies among distinct fingerprints."""
-    keyed = nodes.select(F.explode(_keys()).alias("key"), "id", *WORDS)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "a bigint, b bigint").distinct()
+    """Edges (a, b), a < b, that connect near copies among distinct fingerprints.
+
+    Only (key, id) of every key is shuffled.  Keys of one document end there;
+    the others' member sets, each once however many keys have it, are then
+    joined with the fingerprints.
+    """
+    keyed = nodes.select(F.explode(_keys()).alias("key"), "id").repartition("key").sortWithinPartitions("key")
+    buckets = keyed.mapInArrow(_buckets, "bucket bigint, id bigint").distinct()
+    filled = buckets.join(nodes.select("id", *WORDS), "id").repartition("bucket").sortWithinPartitions("bucket")
+    return filled.select("bucket", "id", *WORDS).mapInArrow(_pairs, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
