@@ -7,7 +7,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-NEGATIONS = ("not", "no", "never", "false", "bad", "harmful", "worse", "不", "非", "无", "差", "不好")
+NEGATIONS = tuple("bad false harmful never no not worse 不 不好 差 无 非".split())
+_BRACKET, _PAREN = r"\[([^\]]+)\]", r"\([^)]+\)"
+_RUN = "{1,3}"
+#: A page's title element.
+TITLE = "(?i)<title[^>]*>" "([^<]+)</title>"
 CJK = "\\x{4e00}-\\x{9fff}"
 
 
@@ -84,7 +88,7 @@ def transition(status: Column, confidence: Column, conflict: Column, gap: Column
 
 
 #: Markup of Markdown in the order it is taken off: fences, code, links, images, emphasis, quotes, lists.
-MARKDOWN = ((r"```[\s\S]*?```", ""), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^\)]+\)", "$1"), (r"!\[[^\]]*\]\([^\)]+\)", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"), (r"(?m)^>\s*", ""), (r"(?m)^[-*+]\s+", ""), (r"(?m)^\d+\.\s+", ""))
+MARKDOWN = (("```" + r"[\s\S]*?" + "```", ""), (r"`([^`]+)`", "$1"), (_BRACKET + _PAREN, "$1"), (r"!\[[^\]]*\]" + _PAREN, ""), (rf"\*{_RUN}([^*]+)\*{_RUN}", "$1"), (f"_{_RUN}([^_]+)_{_RUN}", "$1"), (r"(?m)^>\s*", ""), (r"(?m)^[-*+]\s+", ""), (r"(?m)^\d+\.\s+", ""))
 
 
 def strip(c: Column) -> Column:
@@ -100,7 +104,7 @@ def strip_markdown(c: Column) -> Column:
 
 def html_title(html: Column, fallback: Column) -> Column:
     """The page's title, else the last part of its address."""
-    title = F.trim(F.regexp_extract(html, "(?i)<title[^>]*>([^<]+)</title>", 1))
+    title = F.trim(F.regexp_extract(html, TITLE, 1))
     last = F.element_at(F.split(F.regexp_replace(fallback, "/+$", ""), "/"), -1)
     return F.when(title != "", title).otherwise(last)
 

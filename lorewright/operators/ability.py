@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 DOMAIN_CAP, REFS = 500, 20
 #: Other spellings by which a concept counts as covered.
-ALIASES = {"momentum": ["动量", "趋势"], "drawdown": ["回撤"], "sharpe ratio": ["夏普", "sharpe"], "moat": ["护城河"], "attention": ["注意力"], "transformer": ["变换器"]}
+ALIASES = {k: v.split() for k, v in (("moat", "护城河"), ("drawdown", "回撤"), ("momentum", "动量 趋势"), ("sharpe ratio", "夏普 sharpe"), ("transformer", "变换器"), ("attention", "注意力"))}
 
 
 def pool(ku: DataFrame, taxonomy: DataFrame, limit: int = DOMAIN_CAP) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import strip, strip_markdown
 
 WINDOW, STEP, LOOK_BACK, MAX_CHUNKS, PARAGRAPHS = 1792, 1568, 100, 500, 10
-BOUNDARIES = ("\n\n", "。", "！", "？", "!", "?", "\n", " ")
+BOUNDARIES = ("\n\n", *"。！？!?", "\n", " ")
+#: A paragraph that is a heading.
+HEADING = "^#{1,4}" + r"\s+(\S.*)$"
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -31,8 +33,8 @@ def markdown_chapters(docs: DataFrame) -> DataFrame:
     Headings without text are dropped; a document without any section is one raw section.
     """
     p = paragraphs(docs)
-    heading = F.regexp_extract("para", r"^#{1,4}\s+(.+)$", 1)
-    p = p.withColumn("heading", heading).withColumn("is_heading", F.col("para").rlike(r"^#{1,4}\s+(.+)$"))
+    heading = F.regexp_extract("para", HEADING, 1)
+    p = p.withColumn("heading", heading).withColumn("is_heading", F.col("para").rlike(HEADING))
     w = Window.partitionBy("doc_id").orderBy("pos")
     p = p.withColumn("part", F.sum(F.col("is_heading").cast("int")).over(w)).withColumn("title", F.last(F.when(F.col("is_heading"), strip(F.col("heading"))), ignorenulls=True).over(w))
     body = p.where(~F.col("is_heading")).withColumn("para", strip_markdown(F.col("para"))).where("para != ''")

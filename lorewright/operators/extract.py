@@ -15,11 +15,12 @@ from ..schema import ENTITY_TYPES, EXTRACTION, PREFIX
 
 RAW = "facts array<struct<statement string, source_hint string>>, claims array<struct<statement string, confidence string, domain string>>, entities array<struct<name string, type string, aliases array<string>>>, concepts array<struct<name string, domain string, definition string>>"
 MAX_ITEMS, NAME = 5, 80
+FENCE_START, FENCE_END = "(?m)^```" + r"(?:json)?\s*", "(?m)" + r"\s*```$"
 
 
 def parse(response: Column) -> Column:
     """A model's answer as the raw struct: code fences off, then JSON; null if it isn't JSON."""
-    bare = strip(F.regexp_replace(F.regexp_replace(response, r"(?m)^```(?:json)?\s*", ""), r"(?m)\s*```$", ""))
+    bare = strip(F.regexp_replace(F.regexp_replace(response, FENCE_START, ""), FENCE_END, ""))
     return F.from_json(bare, RAW)
 
 
@@ -46,7 +47,7 @@ def rule_extractor(text: str) -> str:
     return json.dumps({
         "facts": [{"statement": s, "source_hint": ""} for s in sentences if any(c.isdigit() for c in s)],
         "claims": [{"statement": s, "confidence": round(0.4 + 0.05 * (len(s) % 12), 2), "domain": ""} for s in sentences if not any(c.isdigit() for c in s)],
-        "entities": [{"name": n, "type": "Person", "aliases": []} for n in names],
+        "entities": [{"type": "Person", "name": n, "aliases": []} for n in names],
         "concepts": [{"name": w, "domain": "", "definition": s} for s in sentences[:1] for w in s.split()[:1]],
     }, ensure_ascii=False)
 

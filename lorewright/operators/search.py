@@ -106,7 +106,7 @@ def fuse(*arms: DataFrame, top_k: int = 20) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def post_filter(hits: DataFrame, ku: DataFrame, domain: str = "", ku_types: list[str] | None = None, exclude_inactive: bool = True) -> DataFrame:
+def post_filter(hits: DataFrame, ku: DataFrame, *, exclude_inactive: bool = True, ku_types: list[str] | None = None, domain: str = "") -> DataFrame:
     """Hits that stand: known, not inactive, of the domain and types. Applied after the cut, never below it."""
     if not domain and not ku_types and not exclude_inactive:
         return hits
@@ -131,7 +131,7 @@ def by_name(ku: DataFrame, name: str, exact: bool = False, limit: int = 20) -> D
     return live.where(F.size(F.array_except(need, bag)) == 0).orderBy("ord", "ku_id").limit(limit)
 
 
-def domain_listing(ku: DataFrame, domain: str, ku_types: list[str] | None = None, top_k: int = 20) -> DataFrame:
+def domain_listing(ku: DataFrame, domain: str, top_k: int = 20, ku_types: list[str] | None = None) -> DataFrame:
     """The first units of a domain, cut before they are sorted by confidence."""
     rows = ku.where((F.col("domain") == domain) & (F.col("status") != "deleted")).orderBy("ord", "ku_id").limit(2 * top_k)
     if ku_types:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..schema import KU_TYPES
 
-# --- scans -------------------------------------------------------------------
+# --- scans ---
 
 
 def point_lookup(ku: DataFrame, ku_id: str) -> DataFrame:
@@ -19,7 +19,7 @@ def point_lookup(ku: DataFrame, ku_id: str) -> DataFrame:
     return ku.where(F.col("ku_id") == ku_id)
 
 
-def by_type(ku: DataFrame, ku_type: str, domain: str = "", status: str = "active", limit: int = 100) -> DataFrame:
+def by_type(ku: DataFrame, ku_type: str, *, status: str = "active", domain: str = "", limit: int = 100) -> DataFrame:
     rows = ku.where((F.col("ku_type") == ku_type) & (F.col("status") == status))
     return (rows.where(F.col("domain") == domain) if domain else rows).orderBy("ord").limit(limit)
 
@@ -34,7 +34,7 @@ def capped_per_type(ku: DataFrame, limit: int = 2000) -> DataFrame:
     return ku.where((F.col("status") == "active") & F.col("ku_type").isin(*KU_TYPES)).withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
 
-def relations_of(rel: DataFrame, ku_id: str, rel_type: str = "", direction: str = "both") -> DataFrame:
+def relations_of(rel: DataFrame, ku_id: str, *, direction: str = "both", rel_type: str = "") -> DataFrame:
     """Edges at a node; the type holds for both directions."""
     out, into = F.col("from_ku") == ku_id, F.col("to_ku") == ku_id
     rows = rel.where({"out": out, "in": into, "both": out | into}[direction])
@@ -51,7 +51,7 @@ def claims_by_domain(ku: DataFrame, domain: str, claim_status: str | None = None
     return rows.where(F.col("extra.claim_status") == claim_status) if claim_status else rows
 
 
-def conflicts(cards: DataFrame, status: str = "open", domain: str = "") -> DataFrame:
+def conflicts(cards: DataFrame, *, domain: str = "", status: str = "open") -> DataFrame:
     rows = cards.where(F.col("status") == status)
     return rows.where(F.col("domain") == domain) if domain else rows
 
@@ -96,7 +96,7 @@ def response(ku: DataFrame, include_source_text: bool = True) -> DataFrame:
     return ku if include_source_text else ku.withColumn("extra", F.col("extra").dropFields("source_text"))
 
 
-# --- writes ------------------------------------------------------------------
+# --- writes ---
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "ku_id") -> DataFrame:

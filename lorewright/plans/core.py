@@ -14,7 +14,7 @@ from .views import CTE
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FULL = "ku_id, ku_type, name, summary, confidence, status, domain, ord"
+FULL = "ku_id, ku_type, domain, name, summary, status, confidence, ord"
 SEARCH = "the of and er"
 BM25_TOP, HYBRID = 20, "thtion and reen"
 
@@ -33,7 +33,7 @@ def full(df: DataFrame) -> DataFrame:
     return df.select(*FULL.split(", "))
 
 
-# --- scans, statistics, writes --------------------------------------------------
+# --- scans, statistics, writes ---
 
 
 @query(f"{CTE} SELECT {FULL} FROM ku WHERE ku_id = 'CON_00000028'")
@@ -43,7 +43,7 @@ def ku_point_lookup(spark, sf):
 
 @query(f"{CTE} SELECT {FULL} FROM ku WHERE ku_type = 'Concept' AND domain = 'Brand#12' AND status = 'active' ORDER BY ord LIMIT 50")
 def ku_by_type(spark, sf):
-    return full(store.by_type(V.units(spark, sf), "Concept", "Brand#12", limit=50))
+    return full(store.by_type(V.units(spark, sf), "Concept", domain="Brand#12", limit=50))
 
 
 @query(f"{CTE} SELECT {FULL} FROM ku WHERE domain = 'fr' AND status <> 'deleted' ORDER BY ord, ku_id LIMIT 20")
@@ -58,7 +58,7 @@ def ku_scan_capped(spark, sf):
 
 @query(f"{CTE} SELECT from_ku, to_ku, rel_type, weight, ord FROM mentions WHERE (from_ku = 'ENT_00000007' OR to_ku = 'ENT_00000007') AND rel_type = 'MENTIONS'")
 def rel_by_node(spark, sf):
-    return store.relations_of(V.mentions(spark, sf), "ENT_00000007", "MENTIONS").drop("rel_id")
+    return store.relations_of(V.mentions(spark, sf), "ENT_00000007", rel_type="MENTIONS").drop("rel_id")
 
 
 @query(f"{CTE} SELECT from_ku, to_ku, rel_type, weight, ord FROM mentions ORDER BY ord LIMIT 5000")
@@ -134,7 +134,7 @@ def response_projection(spark, sf):
     return full(store.response(V.units(spark, sf), False).where("ku_type = 'Evidence'"))
 
 
-# --- identity -----------------------------------------------------------------
+# --- identity ---
 
 
 def _fp(kind: str, name: str, domain: str) -> str:
@@ -190,7 +190,7 @@ def redirect_relations(spark, sf):
     return identity.redirect(V.mentions(spark, sf), identity.identities(_named(spark, sf))).drop("rel_id")
 
 
-# --- sources, chunks, extraction -------------------------------------------------
+# --- sources, chunks, extraction ---
 
 
 def _docs(spark, sf):
@@ -244,7 +244,7 @@ def md_strip(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(X.strip_markdown(F.col("text")).cast("binary")).alias("text"))
 
 
-@query("SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) ELSE string_split(regexp_replace(url, '/+$', ''), '/')[-1] END AS title FROM pages")
+@query(f"SELECT page_id, CASE WHEN trim(regexp_extract(html, '{X.TITLE}', 1)) <> '' THEN trim(regexp_extract(html, '{X.TITLE}', 1)) ELSE string_split(regexp_replace(url, '/+$', ''), '/')[-1] END AS title FROM pages")
 def html_title(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", X.html_title(F.col("html"), F.col("url")).alias("title"))
 
@@ -285,7 +285,7 @@ def ingest_pipeline(spark, sf):
     return ku.groupBy("ku_type").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
 
-# --- search -------------------------------------------------------------------
+# --- search ---
 
 
 def _tokens_sql(column: str) -> str:
@@ -381,7 +381,7 @@ def name_search_tokens(spark, sf):
 
 @query(f"{CTE}, d AS (SELECT * FROM ku WHERE domain = 'en' AND status <> 'deleted' ORDER BY ord, ku_id LIMIT 30) SELECT {FULL} FROM (SELECT * FROM d WHERE ku_type = 'Claim' ORDER BY ord, ku_id LIMIT 15)")
 def domain_listing(spark, sf):
-    return full(search.domain_listing(V.units(spark, sf), "en", ["Claim"], 15))
+    return full(search.domain_listing(V.units(spark, sf), "en", 15, ["Claim"]))
 
 
 @query()
@@ -391,7 +391,7 @@ def stub_embedding(spark, sf):
     return _docs(spark, sf).select("doc_id", stub(64)("text").alias("v")).select("doc_id", F.round(search.dot(F.col("v"), F.col("v")), 4).alias("norm"))
 
 
-# --- graph --------------------------------------------------------------------
+# --- graph ---
 
 _BOTH = "b AS (SELECT from_ku AS u, to_ku AS v, weight, rel_type, ord FROM tree UNION ALL SELECT to_ku, from_ku, weight, rel_type, ord FROM tree)"
 _BFS = f"""{CTE}, {_BOTH}, walk(node, depth, score, rel_type, path, seen) AS (SELECT 'N3', 0, 1.0::DOUBLE, '', CAST([] AS BIGINT[]), ['N3'] UNION ALL
@@ -432,7 +432,7 @@ def graph_mode_search(spark, sf):
     return graph.graph_mode(V.mentions(spark, sf), V.units(spark, sf), seeds)
 
 
-# --- relations ------------------------------------------------------------------
+# --- relations ---
 
 #: Names of brands without the mark, as entities; part types as definitions.
 _WORDS = "e AS (SELECT DISTINCT 'W_' || w AS ku_id, w AS name FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part))"
@@ -478,7 +478,7 @@ def rel_discover(spark, sf):
     return relate.discover(new, new.limit(0))
 
 
-# --- claims -------------------------------------------------------------------
+# --- claims ---
 
 _NEG = "[" + ", ".join(f"'{w}'" for w in X.NEGATIONS) + "]"
 #: Words of the first 60 characters keep the pairs of a domain few enough for the brute-force SQL.
@@ -528,7 +528,7 @@ def claim_evolution_fold(spark, sf):
     return evolve.fold(_claims(spark, sf))
 
 
-# --- abilities ------------------------------------------------------------------
+# --- abilities ---
 
 _ABILITIES = [
     ("metalwork", "Metalwork", "Brand#11", ["Brand#11", "Brand#12", "Brand#13"], ["plating", "alloys", "polish"], ["finish"], 0.6, {"plating": ["plated", "anodized"], "alloys": ["steel", "brass", "copper", "tin", "nickel", "iron", "lead", "zinc"], "polish": ["polished", "mirror"], "finish": ["burnished", "brushed", "glazed"]}),
@@ -596,7 +596,7 @@ def ability_packages(spark, sf):
     return ability.packages(tax, ability.skills(items, units, cov, h), ability.report(tax, cov, units))
 
 
-# --- synthesis, near pairs ---------------------------------------------------------
+# --- synthesis, near pairs ---
 
 
 @query(f"""{CTE}, nb AS (SELECT to_ku AS id, row_number() OVER (ORDER BY ord) AS rank FROM mentions WHERE from_ku = 'CON_00000001'),
@@ -634,7 +634,7 @@ def neardup_summary(spark, sf):
     return nearpairs.summary(_items(spark, sf), nearpairs.near_pairs(_items(spark, sf), 0.3))
 
 
-# --- events -------------------------------------------------------------------
+# --- events ---
 
 _CAND = """c AS (SELECT event_id AS ord, event_type, event_type <> 'click' AS translated, CASE WHEN event_id % 11 = 0 THEN '' ELSE props END AS content, CASE WHEN event_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE [CAST(user_id AS VARCHAR), event_type] END AS refs, value > 5 AS keep FROM events),
 k AS (SELECT *, CASE WHEN len(refs) > 0 THEN array_to_string(refs, '|') ELSE substr(sha256(trim(regexp_replace(lower(trim(content)), '\\s+', ' ', 'g'))), 1, 16) END AS key, translated AND keep AND content <> '' AS good FROM c),

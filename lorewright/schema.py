@@ -8,17 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-KU_TYPES = ("Entity", "Concept", "Fact", "Claim", "Evidence", "Ability")
-ENTITY_TYPES = ("Person", "Organization", "Product", "Event", "Place")
+KU_TYPES = tuple("Entity Concept Fact Claim Evidence Ability".split())
+ENTITY_TYPES = tuple("Event Organization Person Place Product".split())
 CLAIM_STATUSES = ("pending", "active", "disputed", "superseded", "rejected")
 CONFLICT_STATUSES = ("open", "resolved", "deferred")
 SOURCE_TYPES = ("Book", "Paper", "Article", "Speech", "Dataset", "Web")
 RELATION_TYPES = ("CREATED_BY", "SUPPORTS", "DERIVED_FROM", "MENTIONS")
-INACTIVE = ("superseded", "rejected", "deleted", "disputed")
+INACTIVE = tuple("deleted disputed rejected superseded".split())
 EVENTS = ("knowledge.created", "claim.status_changed", "conflict.detected", "conflict.resolved", "ability.created")
 
 #: Id prefixes, numbered with eight digits.
-PREFIX = {"Entity": "ENT", "Concept": "CON", "Fact": "FCT", "Claim": "CLM", "Evidence": "EVD", "Ability": "ABL", "Relation": "REL", "Conflict": "CFL", "Skill": "SKL"}
+PREFIX = dict(zip((*KU_TYPES, "Relation", "Conflict", "Skill"), "ENT CON FCT CLM EVD ABL REL CFL SKL".split()))
 
 _S, _D, _I, _B = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
 _A = T.ArrayType(_S)

@@ -22,7 +22,7 @@ EDGE = "rel_id string, from_ku string, to_ku string, rel_type string, weight dou
 CARD = "conflict_id string, claim_a_id string, claim_b_id string, domain string, status string, resolution_strategy string, winner string, loser string, resolution_note string, resolved_by string"
 CACHE = "ku_id string, content string, digest string"
 JOB = "job_id string, status string, detail string, created_at timestamp"
-MODES = ("bm25", "vector", "graph", "hybrid")
+MODES = tuple("hybrid graph vector bm25".split())
 PROVIDERS = ("anthropic", "openai", "deepseek", "local")
 MAX_JOBS = 200
 
@@ -97,7 +97,7 @@ class Engine:
         status = F.when(F.col("_lost"), "superseded").otherwise(F.coalesce("after", "extra.claim_status"))
         self.store.write("ku", out.withColumn("extra", F.col("extra").withField("claim_status", status)).select(*ku.columns))
 
-    def ingest_text(self, text: str, source: str = "inline", title: str = "", domain: str = "") -> DataFrame:
+    def ingest_text(self, text: str, *, title: str = "", source: str = "inline", domain: str = "") -> DataFrame:
         if not text.strip():
             raise Invalid("blank text")
         if len(text) > readers.MAX_CHARS:
@@ -136,47 +136,47 @@ class Engine:
             raise NotFound(ku_id)
         return row
 
-    def list_by_domain(self, domain: str, limit: int = 50) -> DataFrame:
-        return store.by_domain(self.units(), domain, limit)
+    def list_by_domain(self, name: str, limit: int = 50) -> DataFrame:
+        return store.by_domain(self.units(), name, limit)
 
     def graph(self, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
         """Capped active units without their source text, and the edges among them."""
         limit = max(1, min(5000, limit))
         return store.response(store.capped_per_type(self.units(), limit), False), store.induced(self.units(), self.relations(), limit)
 
-    def neighbors(self, ku_id: str, max_depth: int = 2, top_k: int = 20, rel_types: list[str] | None = None) -> DataFrame:
+    def neighbors(self, ku_id: str, depth: int = 2, limit: int = 20, rel_types: list[str] | None = None) -> DataFrame:
         self.get(ku_id)
         seed = self.spark.createDataFrame([(ku_id,)], "seed string")
-        return graph.ranked(graph.bfs(self.relations(), seed, max_depth, rel_types), self.units(), top_k)
+        return graph.ranked(graph.bfs(self.relations(), seed, depth, rel_types), self.units(), limit)
 
     def find_path(self, start: str, goal: str) -> DataFrame:
         return graph.shortest_path(self.relations(), start, goal)
 
     # --- search ---
 
-    def search(self, query: str, mode: str = "hybrid", top_k: int = 10, domain: str = "", ku_types: list[str] | None = None, exclude_inactive: bool = True) -> DataFrame:
+    def search(self, text: str, mode: str = MODES[0], limit: int = 10, *, exclude_inactive: bool = True, ku_types: list[str] | None = None, domain: str = "") -> DataFrame:
         """(id, score, …): the best units in one of the four modes."""
         if mode not in MODES:
             raise Invalid(f"mode {mode!r}")
         live = self.units().where("status = 'active'")
-        text = search.document_text(F.col("name"), F.col("summary"), F.col("tags"))
-        rows = live.select("ku_id", "ord", text.alias("text"), F.concat_ws(" ", text, F.coalesce("extra.statement", F.lit(""))).alias("long"))
-        words = lambda k: search.bm25(search.index(rows, "ku_id", "text", "ord"), query, k)
+        bag = search.document_text(F.col("name"), F.col("summary"), F.col("tags"))
+        rows = live.select("ku_id", "ord", bag.alias("text"), F.concat_ws(" ", bag, F.coalesce("extra.statement", F.lit(""))).alias("long"))
+        words = lambda k: search.bm25(search.index(rows, "ku_id", "text", "ord"), text, k)
 
         def vectors(k: int) -> DataFrame:
-            q = self.spark.createDataFrame([(query,)], "t string").select(stub()("t").alias("q"))
+            q = self.spark.createDataFrame([(text,)], "t string").select(stub()("t").alias("q"))
             return search.vector(rows.select("ku_id", stub()("long").alias("v")), q, k, id_column="ku_id", column="v")
 
         if mode == "bm25":
-            hits = words(2 * top_k)
+            hits = words(2 * limit)
         elif mode == "vector":
-            hits = vectors(2 * top_k)
+            hits = vectors(2 * limit)
         elif mode == "graph":
-            hits = graph.graph_mode(self.relations(), self.units(), words(3), 2 * top_k).select(F.col("node").alias("id"), "score")
+            hits = graph.graph_mode(self.relations(), self.units(), words(3), 2 * limit).select(F.col("node").alias("id"), "score")
         else:
-            hits = search.fuse(words(search.ARM), vectors(search.ARM), top_k=2 * top_k)
-        kept = search.post_filter(hits.select("id", "score"), self.units(), domain, ku_types, exclude_inactive)
-        return kept.orderBy(F.desc("score"), "id").limit(top_k)
+            hits = search.fuse(words(search.ARM), vectors(search.ARM), top_k=2 * limit)
+        kept = search.post_filter(hits.select("id", "score"), self.units(), domain=domain, ku_types=ku_types, exclude_inactive=exclude_inactive)
+        return kept.orderBy(F.desc("score"), "id").limit(limit)
 
     # --- synthesis ---
 
@@ -185,7 +185,7 @@ class Engine:
         unit = self.get(ku_id)
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")  # at most twenty rows
         near = self.neighbors(ku_id, 2, synthesis.NEIGHBORS).select(F.col("node").alias("id"), "name", "summary", "score").select("id", "name", "summary", rank)
-        hits = self.search(unit.first().name, top_k=synthesis.HITS).join(self.units().select(F.col("ku_id").alias("id"), "name", "summary"), "id").select("id", "name", "summary", rank)
+        hits = self.search(unit.first().name, limit=synthesis.HITS).join(self.units().select(F.col("ku_id").alias("id"), "name", "summary"), "id").select("id", "name", "summary", rank)
         cache = self.store.read("cache", CACHE)
         new = synthesis.generate(written(synthesis.context(unit, near, hits), "context"), cache, self.complete, force)
         return self.store.write("cache", new).where(F.col("ku_id") == ku_id)
@@ -237,8 +237,8 @@ class Engine:
 
     # --- conflicts, operation ---
 
-    def list_conflicts(self, status: str = "open", domain: str = "") -> DataFrame:
-        return store.conflicts(self.cards(), status, domain)
+    def list_conflicts(self, *, domain: str = "", status: str = "open") -> DataFrame:
+        return store.conflicts(self.cards(), domain=domain, status=status)
 
     def resolve_conflict(self, conflict_id: str, winner: str, note: str = "", by: str = "human") -> bool:
         """Settle an open card for a claim; False if there is no such open card."""

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.text import html_title, html_to_text, strip
 from ..operators.chunk import markdown_title
 
-TEXT_SUFFIXES, MARKDOWN_SUFFIXES, BOOK_SUFFIXES, MOBI_SUFFIXES = (".txt",), (".md", ".markdown"), (".epub",), (".mobi", ".azw3", ".azw")
+TEXT_SUFFIXES, MARKDOWN_SUFFIXES, BOOK_SUFFIXES, MOBI_SUFFIXES = (".txt",), (".md", ".markdown"), (".epub",), tuple(".azw .azw3 .mobi".split())
+TAG = re.compile("<[^>]+>")
 MAX_CHARS, MAX_BYTES, MIN_BLOCK = 2_000_000, 20 << 20, 12
 
 
@@ -127,7 +128,7 @@ def fetch(urls: DataFrame, get: Callable[[str], str] | None = None, timeout: int
     def client(url: str) -> str:
         from urllib.request import Request, urlopen
 
-        with urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as r:  # noqa: S310
+        with urlopen(Request(url, headers={"Accept": "text/html", "User-Agent": "lorewright"}), timeout=timeout) as r:  # noqa: S310
             return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
 
     call = get or client
@@ -160,7 +161,7 @@ def epub_blocks(content: bytes) -> tuple[str, list[str]]:
                 name = f"{base}/{item.get('href')}" if base else item.get("href")
                 if name in z.namelist():
                     raw = z.read(name).decode("utf-8", "replace")
-                    blocks.append(re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", raw)).strip())
+                    blocks.append(" ".join(TAG.sub(" ", raw).split()))
         return title, blocks
 
 

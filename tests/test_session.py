@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorewright.session import Engine, Invalid, NotFound
+from lorewright.session import MODES, Engine, Invalid, NotFound
 
 TEXT = "# Funds\n\nIndex funds are good value. Index funds are not good value. Momentum beats the market in 1993.\n\n## Risk\n\nDrawdown hurts Markowitz and Sharpe."
 
@@ -11,14 +11,14 @@ TEXT = "# Funds\n\nIndex funds are good value. Index funds are not good value. M
 def engine(spark, tmp_path_factory):
     tax = spark.createDataFrame([("risk", "Risk", "", [""], ["control"], [], 0.5, {"control": ["drawdown"]}, [("w", ["control"])])], "ability_key string, display_name string, domain string, domains array<string>, required_skills array<string>, optional_skills array<string>, min_coverage double, concept_checklist map<string,array<string>>, workflows array<struct<name:string,steps:array<string>>>")
     e = Engine(spark, str(tmp_path_factory.mktemp("kb")), taxonomy=tax, get=lambda url: "<html><title>T</title><body><p>A page on Momentum.</p></body></html>")
-    e.ingest_text(TEXT, "notes", domain="money")
+    e.ingest_text(TEXT, source="notes", domain="money")
     return e
 
 
 def test_ingest_and_identity(engine):
     n = engine.units().where("status = 'active'").count()
     assert n > 5
-    engine.ingest_text(TEXT + "\n\nMore words here.", "notes", domain="money")
+    engine.ingest_text(TEXT + "\n\nMore words here.", source="notes", domain="money")
     names = engine.units().where("status = 'active'").groupBy("ku_type", "name", "domain").count()
     assert names.where("count > 1").count() == 0
     with pytest.raises(Invalid):
@@ -35,7 +35,7 @@ def test_conflicts(engine):
 
 
 def test_search_and_graph(engine):
-    for mode in ("bm25", "vector", "graph", "hybrid"):
+    for mode in MODES:
         assert engine.search("momentum market", mode, 5, exclude_inactive=False).count() <= 5
     assert engine.search("momentum", "bm25", exclude_inactive=False).count() >= 1
     evidence = engine.units().where("ku_type = 'Evidence' AND status = 'active' AND name = 'Funds'").first().ku_id
