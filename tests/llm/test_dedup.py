@@ -77,7 +77,7 @@ def test_line_long_document(docs):
     assert got == {0: 79_998, 1: 1}
 
 
-# --- SimHash ------------------------------------------------------------------
+# --- SimHash ---
 
 
 def prose(r, n, size=4000):
