@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..schema import KU_TYPES
+from ..sources.tables import written
 
 # --- scans ---
 
@@ -133,9 +134,10 @@ def numbered(rows: DataFrame, *order: Column | str, base: int = 0) -> DataFrame:
     """Adds ``number``: base + 1, base + 2, ... in a fixed order.
 
     Partitions are ranged by the order, numbered inside, and offset by the
-    sizes of those before, so no single task sorts all rows.
+    sizes of those before, so no single task sorts all rows.  The ranged rows
+    are written first: drawn again, the ranges could differ.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")  # a row per partition

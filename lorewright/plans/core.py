@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
@@ -667,29 +669,16 @@ def event_dedup(spark, sf):
     return e.groupBy("dedup_key").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
 
 
-def _local(spark: SparkSession) -> str:
-    import os
-
-    folder = scratch(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    return folder
-
-
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of its one file."""
-    import os
-    import shutil
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="events-", dir=_local(spark))
-    shutil.copy(f"{sf}/events.parquet", folder) if os.path.isfile(f"{sf}/events.parquet") else shutil.copytree(f"{sf}/events.parquet", folder, dirs_exist_ok=True)
-    return spark.readStream.schema(V.table(spark, sf, "events").schema).parquet(folder)
+    """The events table as a stream of files in the shared folder."""
+    rows = V.table(spark, sf, "events")
+    folder = f"{scratch(spark)}/events-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
 
 
 @query(f"SELECT {_KEY} AS dedup_key, 1::BIGINT AS n FROM events GROUP BY 1")
 def stream_event_dedup(spark, sf):
-    import uuid
-
     out = f"{scratch(spark)}/dedup-{uuid.uuid4().hex}"
     rows = crystallize.deduplicated(_stream(spark, sf), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props"))
     q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
@@ -699,8 +688,6 @@ def stream_event_dedup(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_ingest(spark, sf):
-    import uuid
-
     out = f"{scratch(spark)}/ingest-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
