@@ -205,7 +205,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch = 0
                 for seed in range(3):
                     sketch = sketch * 1_000_003 + (int(mix64(base[own] ^ np.uint64(seed)).min()) if len(own) else 0)
-                yield pa.RecordBatch.from_arrays([pa.array([sketch % (1 << 63)], pa.int64()), pa.array([int(y)], pa.int32()), pa.array([[words[c] for c in own]], pa.list_(pa.string()))], names=["sketch", "toxic", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([sketch % (1 << 63)], pa.int64()), pa.array([int(y)], pa.int32()), pa.array([sorted(words[c] for c in own)], pa.list_(pa.string()))], names=["sketch", "toxic", "words"])
 
 
 def hash_of(word: str) -> int:
@@ -229,8 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, max_labelled: int = MAX_LABEL
     # Bounded by max_labelled rows of 12 bytes whatever the corpus is, hence broadcast.
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     sample = written(sample, "toxicity-sample")
-    distinct = sample.mapInArrow(_vocabulary, "sketch bigint, toxic int, words array<string>").dropDuplicates(["sketch"])
-    distinct = written(distinct, "toxicity-words")
+    rows = sample.mapInArrow(_vocabulary, "sketch bigint, toxic int, words array<string>")
+    # Of near copies the greatest row, not any: the fit is the same in every run.
+    distinct = written(rows.groupBy("sketch").agg(F.max(F.struct("toxic", "words")).alias("m")).select("m.*"), "toxicity-words")
     n1, n0 = distinct.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
         return model

@@ -90,6 +90,8 @@ def test_fit(spark, docs):
     assert "zorgle" in m.weights and not set(m.weights) & set(vocabulary)
     held = {r.doc_id: r.toxic for r in t.score(df, m).where("doc_id >= 200").collect()}
     assert held == {i: bool(b) for i, b in labels if i >= 200}
+    again = t.fit(df.repartition(3), lab.where("doc_id < 200").repartition(5))
+    assert (again.weights, again.threshold) == (m.weights, m.threshold)
     assert t.fit(df, lab.limit(0)).threshold == t.DEFAULT_THRESHOLD and t.fit(df, None).weights == W
 
 
