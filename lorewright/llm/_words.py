@@ -33,6 +33,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # what the last batch took, workers live on
 
 
 def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:

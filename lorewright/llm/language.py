@@ -240,7 +240,7 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def identify(docs: DataFrame, pages: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(kind, doc_id, language, confidence) of every document and page; a page's id is its page_id.
+    """(doc_id, page_id, language, confidence) of every document (page_id null) and every page (doc_id null).
 
     ``labelled`` has doc_id, text and language; by default the documents' own
     declared languages, of which only a bounded sample is read.
@@ -250,10 +250,11 @@ def identify(docs: DataFrame, pages: DataFrame, labelled: DataFrame | None = Non
     if not model.languages:
         model = TextModel(names, {}, np.zeros((1, 1)))
     none = F.lit(None).cast("string")
-    d = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", none.alias("markup"), none.alias("suffix"), F.col("source").alias("host"))
-    p = pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("bigint").alias("doc_id"), F.col("html").alias("text"), declared(F.col("html")).alias("markup"), suffix(F.col("url")).alias("suffix"), host(F.col("url")).alias("host"))
-    schema = "kind string, doc_id bigint, markup string, suffix string, host string, evidence array<double>"
+    d = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("bigint").alias("id"), "text", none.alias("markup"), none.alias("suffix"), F.col("source").alias("host"))
+    p = pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("bigint").alias("id"), F.col("html").alias("text"), declared(F.col("html")).alias("markup"), suffix(F.col("url")).alias("suffix"), host(F.col("url")).alias("host"))
+    schema = "kind string, id bigint, markup string, suffix string, host string, evidence array<double>"
     rows = written(d.mapInArrow(_evidence(model, False), schema).unionByName(p.mapInArrow(_evidence(model, True), schema)), "language-evidence")
     # Two tables with their own hosts and priors.
-    parts = [fuse(rows.where(F.col("kind") == k), names).select("kind", "doc_id", "language", "confidence") for k in ("document", "page")]
-    return parts[0].unionByName(parts[1])
+    none = F.lit(None).cast("bigint")
+    of = lambda kind, doc, page: fuse(rows.where(F.col("kind") == kind), names).select(doc.alias("doc_id"), page.alias("page_id"), "language", "confidence")
+    return of("document", F.col("id"), none).unionByName(of("page", none, F.col("id")))

@@ -10,7 +10,7 @@ def test_held_out_accuracy(spark):
     docs = registry.table(spark, SF, "documents")
     seen = docs.where("doc_id % 2 = 0").select("doc_id", "text", F.col("lang").alias("language"))
     got = lid.identify(docs, registry.table(spark, SF, "pages"), seen)
-    right = got.where("kind = 'document'").join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1")
+    right = got.join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1")
     assert right.where("language = lang").count() / right.count() > 0.98
     assert got.count() == docs.count() + registry.table(spark, SF, "pages").count()
 
@@ -24,7 +24,8 @@ def test_evidence(spark, docs):
     p += [(100, "http://h1.example.com/", "<p>77</p>"), (101, "http://h0.example.com/", "<p>77</p>"), (102, "http://new.example.de/", html("de", "77")), (103, None, None), (104, "not a url", "")]
     pages = spark.createDataFrame(p, PAGES).withColumn("evidence", F.lit(1)).withColumn("host", F.lit("z"))
     got = lid.identify(d.unionByName(extra).withColumn("evidence", F.lit(1)), pages).collect()
-    docs_, pages_ = ({r.doc_id: r.language for r in got if r.kind == k} for k in ("document", "page"))
+    docs_ = {r.doc_id: r.language for r in got if r.page_id is None}
+    pages_ = {r.page_id: r.language for r in got if r.page_id is not None}
     assert docs_[503] == "en" and docs_[None] == "de" and docs_[504] == "de" and docs_[500] in ("de", "en")
     assert pages_[100] == "en" and pages_[101] == "de" and pages_[102] == "de" and pages_[103] in ("de", "en")
     assert len(got) == 66 + 45
