@@ -77,3 +77,15 @@ def chunks(chapters: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:
     rows = windows(chapters).withColumn("chunk_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter", "start")) - 1)
     rows = rows.where(F.col("chunk_idx") < limit)
     return rows.select("doc_id", "chunk_idx", F.concat(F.col("doc_id").cast("string"), F.lit("_C"), F.lpad(F.col("chunk_idx").cast("string"), 4, "0")).alias("chunk_id"), F.col("title").alias("source_hint"), "content")
+
+
+def sections(documents: DataFrame) -> DataFrame:
+    """(doc_id, chapter_id, title, section_id, content) of document trees, in order of ``chapter`` and ``section``."""
+    c = documents.select("doc_id", F.posexplode("chapters").alias("chapter", "c"))
+    return c.select("doc_id", "chapter", F.col("c.chapter_id").alias("chapter_id"), F.col("c.title").alias("title"), F.posexplode("c.sections").alias("section", "s")).select("doc_id", "chapter", "chapter_id", "title", "section", "s.section_id", "s.content")
+
+
+def full_text(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): titles and sections of a document tree, a blank line between."""
+    part = F.transform("chapters", lambda c: F.concat(F.when(c["title"] != "", F.array(c["title"])).otherwise(F.array().cast("array<string>")), F.transform(c["sections"], lambda s: s["content"])))
+    return documents.select("doc_id", F.array_join(F.flatten(part), "\n\n").alias("text"))

@@ -76,6 +76,11 @@ def extract(chunks: DataFrame, extractor: Callable[[str], str] = rule_extractor,
     return rows.select("doc_id", "chunk_idx", validated(parse(F.col("response"))).alias("x")).where("x IS NOT NULL")
 
 
+def items(extractions: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, chunk_idx, pos, …) of all facts, claims, entities or concepts."""
+    return extractions.select("doc_id", "chunk_idx", F.posexplode(f"x.{kind}").alias("pos", "i")).select("doc_id", "chunk_idx", "pos", "i.*")
+
+
 def package(extractions: DataFrame, documents: DataFrame, domain: str = "") -> tuple[DataFrame, DataFrame]:
     """(units, relations) from extractions (doc_id, chunk_idx, x) and documents (doc_id, source, title).
 

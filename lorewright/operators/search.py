@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
 from ..schema import INACTIVE
@@ -38,6 +39,28 @@ class Index:
         return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
 
 
+def save(ix: Index, folder: str) -> None:
+    """Write an index for other sessions."""
+    ix.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+    ix.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+
+
+def save_vectors(vectors: DataFrame, folder: str) -> None:
+    """Write vectors with their ids; :func:`load_vectors` gives None where there are none."""
+    vectors.write.mode("overwrite").parquet(folder)
+
+
+def load_vectors(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        return None
+
+
 def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", order: str | None = None) -> Index:
     base = written(docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), tokens(F.col(text)).alias("t")), "tokens")
     postings = base.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions.text import html_title, html_to_text, strip
 from ..operators.chunk import markdown_title
+from .mobi import blocks as mobi_blocks
 
 TEXT_SUFFIXES, MARKDOWN_SUFFIXES, BOOK_SUFFIXES, MOBI_SUFFIXES = (".txt",), (".md", ".markdown"), (".epub",), tuple(".azw .azw3 .mobi".split())
 TAG = re.compile("<[^>]+>")
@@ -165,13 +166,6 @@ def epub_blocks(content: bytes) -> tuple[str, list[str]]:
         return title, blocks
 
 
-def mobi_blocks(content: bytes) -> tuple[str, list[str]]:
-    """Blocks of a MOBI or AZW file; needs an external unpacker."""
-    import mobi  # noqa: F401 - not part of this installation
-
-    raise NotImplementedError
-
-
 def epub(spark: SparkSession, path: str, glob: str = "*", unpack: Callable[[bytes], tuple[str, list[str]]] = epub_blocks) -> DataFrame:
     """E-books: one chapter of the blocks of 12 characters or more."""
 
@@ -187,6 +181,11 @@ def epub(spark: SparkSession, path: str, glob: str = "*", unpack: Callable[[byte
     return _named(rows, "EBOOK", F.when(F.col("t") != "", F.col("t")).otherwise(stem(F.col("source"))))
 
 
+def mobi(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """MOBI, AZW and AZW3 books."""
+    return epub(spark, path, glob, mobi_blocks)
+
+
 def pdf_spans(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, int, float, str]]]) -> DataFrame:
     """(doc_id, page, block, size, text) of a PDF's spans by the injected parser."""
 
@@ -225,7 +224,7 @@ def pdf_title(spans: DataFrame) -> DataFrame:
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Every supported file of a folder by its suffix; others are an error."""
     listed = spark.read.format("binaryFile").load(path).select(suffix(F.col("path")).alias("s")).distinct()
-    known = {s: f for group, f in ((MARKDOWN_SUFFIXES, markdown), (TEXT_SUFFIXES, text), (BOOK_SUFFIXES, epub)) for s in group}
+    known = {s: f for group, f in ((MARKDOWN_SUFFIXES, markdown), (TEXT_SUFFIXES, text), (BOOK_SUFFIXES, epub), (MOBI_SUFFIXES, mobi)) for s in group}
     kinds = [r.s for r in listed.collect()]  # suffixes, not files
     if bad := sorted(set(kinds) - set(known)):
         raise ValueError(f"unsupported suffixes: {', '.join(bad)}")

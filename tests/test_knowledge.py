@@ -20,6 +20,17 @@ def test_bm25(spark):
     assert search.bm25(ix.union(more), "momentum").first().id == 5
 
 
+def test_saved_indexes(spark, tmp_path):
+    ix = search.index(spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "eps zeta")], "doc_id bigint, text string"))
+    search.save(ix, str(tmp_path / "ix"))
+    assert search.bm25(search.load(spark, str(tmp_path / "ix")), "gamma").first().id == 2
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "vec_id bigint, embedding array<float>")
+    search.save_vectors(v, str(tmp_path / "v"))
+    loaded = search.load_vectors(spark, str(tmp_path / "v"))
+    assert [r.id for r in search.vector(loaded, v.where("vec_id = 2").select(F.col("embedding").alias("q"))).collect()] == [2, 1]
+    assert search.load_vectors(spark, str(tmp_path / "none")) is None
+
+
 def test_rrf_and_filter(spark):
     arm = lambda *ids: spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "id string, rank int")
     got = search.fuse(arm("a", "b"), arm("b", "c")).collect()

@@ -119,3 +119,39 @@ def test_fetch(spark):
     urls = spark.createDataFrame([("http://a/x",), ("http://b/y",)], "url string")
     got = {r.url: r.html for r in readers.fetch(urls, lambda u: "<p>ok</p>" if "a" in u else 1 / 0).collect()}
     assert got == {"http://a/x": "<p>ok</p>", "http://b/y": None}
+
+
+def palm(records, compression, title=b"Palm Title", flags=0):
+    """A small MOBI file."""
+    import struct
+
+    head = struct.pack(">HHIHHI", compression, 0, 0, len(records), 4096, 0) + b"MOBI" + struct.pack(">II", 232, 2) + struct.pack(">I", 65001) + b"\0" * 52
+    head += struct.pack(">II", 260, len(title)) + b"\0" * (242 - 92) + struct.pack(">H", flags) + b"\0" * 16 + title
+    parts = [head, *records]
+    at, table = 78 + 8 * len(parts) + 2, b""
+    for p in parts:
+        table += struct.pack(">II", at, 0)
+        at += len(p)
+    return b"name".ljust(32, b"\0") + b"\0" * 44 + struct.pack(">H", len(parts)) + table + b"\0\0" + b"".join(parts)
+
+
+def test_mobi(spark, tmp_path):
+    from lorewright.sources import mobi
+
+    assert mobi.unpack(b"abc" + bytes([0x80, 0x18]) + b"\x02\xc3\xa9" + bytes([0xE1])) == b"abcabc\xc3\xa9 a"
+    plain = "<html><p>First block of the book</p><p>short</p><p>Second blöck of it</p></html>".encode()
+    (tmp_path / "a.mobi").write_bytes(palm([plain[:30] + b"\x00", plain[30:] + b"\x00"], 1, flags=1))
+    (tmp_path / "b.azw3").write_bytes(palm([b"<p>Compressed text here</p>"], 2, b"Other"))
+    got = {r.title: r.text for r in readers.read_any(spark, str(tmp_path)).collect()}
+    assert got == {"Palm Title": "First block of the book\n\nSecond blöck of it", "Other": "Compressed text here"}
+    with pytest.raises(ValueError):
+        mobi.html_of(palm([b"x"], 17480))
+
+
+def test_document_trees(spark):
+    from lorewright.schema import DOCUMENT
+
+    doc = ("d", "T", "s", "MARKDOWN", [("c1", "One", [("s1", "a"), ("s2", "b")]), ("c2", "", [("s3", "c")])], {})
+    rows = spark.createDataFrame([doc], DOCUMENT)
+    assert [r.section_id for r in chunk.sections(rows).orderBy("chapter", "section").collect()] == ["s1", "s2", "s3"]
+    assert chunk.full_text(rows).first().text == "One\n\na\n\nb\n\nc"
