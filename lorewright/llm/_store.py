@@ -2,36 +2,12 @@
 
 Everything that must outlive a stage is a Parquet table under
 ``spark.checkpoint.dir``, the folder that all executors share, so a lost
-executor never loses it.  Only where that setting is absent (tests on one
-machine) is a folder made and set here.
+executor never loses it.  Results read these tables lazily; the folder is
+emptied by whoever owns the job, after its last action.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..sources.tables import scratch as shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only if none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lorewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+__all__ = ["shared_dir", "written"]

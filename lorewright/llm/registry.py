@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table as table
@@ -13,7 +13,12 @@ from . import exact_dedup, language, line_dedup, mixing, secrets, sentencepiece,
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     """The labels table where there is one."""
-    return table(spark, sf_dir, "labels") if os.path.exists(f"{sf_dir}/labels.parquet") else None
+    try:
+        return spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
