@@ -41,7 +41,8 @@ TREES, DEPTH, THRESHOLD = 40, 8, 0.5
 CONTEXT = 48
 
 _KEY = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9_+/=.\-]{16,}(?![\w+/=-])")
-_ASSIGNED = re.compile(r"(?i)\b(?:\w*(?:password|passwd|pwd|secret|token|api_?key|access_?key|credential)\w*)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'`,;<>]{8,})")
+#: No part before the telling name and a bounded one after: linear in a text of one endless word.
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|credential)\w{0,64}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'`,;<>]{8,})")
 _HINT = "(?i)password|passwd|pwd|secret|token|api_?key|access_?key|credential"
 _WORD = re.compile(r"[A-Za-z]{2,}")
 SECRET_WORDS = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials access private login".split())

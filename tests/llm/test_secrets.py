@@ -16,6 +16,7 @@ def test_candidates():
     got = [(text[a:b], x) for a, b, x in s.candidates(text)]
     assert got == [(key, True), ("4952935900253052", False), ("hunter2hunter2", True)]
     assert s.candidates("") == []
+    assert s.candidates("token" * 100_000) == [] and len(s.candidates("a1" * 300_000)) == 1
 
 
 def test_held_out_accuracy(spark):
