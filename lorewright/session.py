@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions.embed import stub
 from .operators import ability, chunk, evolve, extract, graph, identity, relate, search, store, synthesis
@@ -21,6 +22,7 @@ UNIT = "ku_id string, ku_type string, name string, summary string, confidence do
 EDGE = "rel_id string, from_ku string, to_ku string, rel_type string, weight double, ord bigint"
 CARD = "conflict_id string, claim_a_id string, claim_b_id string, domain string, status string, resolution_strategy string, winner string, loser string, resolution_note string, resolved_by string"
 CACHE = "ku_id string, content string, digest string"
+SEEN = "key string"
 JOB = "job_id string, status string, detail string, created_at timestamp"
 MODES = tuple("hybrid graph vector bm25".split())
 PROVIDERS = ("anthropic", "openai", "deepseek", "local")
@@ -115,18 +117,33 @@ class Engine:
         return self.ingest(readers.html_pages(pages), domain, markdown=False)
 
     def crystallize(self, candidates: DataFrame) -> DataFrame:
-        """Candidates (ord, title, content, event_refs, evidence, domain_hint) to units; their outcomes."""
-        rows = written(crystallize.outcomes(candidates.withColumn("translated", F.lit(True))), "candidates")
+        """Candidates (ord, title, content, event_refs, evidence, domain_hint) to units; their outcomes.
+
+        Keys of what was taken in are remembered, after success only, so a
+        batch that failed can be fed again and one that did not adds nothing.
+        """
+        seen = self.store.read("seen", SEEN)
+        rows = crystallize.outcomes(candidates.withColumn("translated", F.lit(True))).join(seen.withColumn("_seen", F.lit(True)), "key", "left")
+        rows = written(rows.withColumn("outcome", F.when((F.col("outcome") == "crystallized") & F.col("_seen"), "skipped_dup").otherwise(F.col("outcome"))).drop("_seen"), "candidates")
         text = crystallize.ingest_text(F.col("title"), F.col("content"))
         source = crystallize.source_string(F.col("evidence")) if "evidence" in rows.columns else F.lit("knowledge_candidate")
-        good = rows.where("outcome = 'crystallized'").select(F.concat(F.lit("DOC_"), F.substring(F.sha2(F.concat_ws("|", "key", text), 256), 1, 8)).alias("doc_id"), "title", source.alias("source"), text.alias("text"))
+        good = rows.where("outcome = 'crystallized'")
         if not good.isEmpty():
-            self.ingest(good)
+            self.ingest(good.select(F.concat(F.lit("DOC_"), F.substring(F.sha2(F.concat_ws("|", "key", text), 256), 1, 8)).alias("doc_id"), "title", source.alias("source"), text.alias("text")))
+            self.store.write("seen", seen.union(good.select("key")).distinct())
         return crystallize.counters(rows)
 
+    def consume(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Crystallize every micro-batch of a stream of candidates."""
+        return crystallize.run(stream, lambda batch, _: self.crystallize(batch), checkpoint)
+
+    def forget_events(self) -> None:
+        """Events seen before count as new again."""
+        self.store.write("seen", self.spark.createDataFrame([], SEEN))
+
     def reset(self) -> int:
         """Empty every table; the number of units there were."""
-        return self.store.clear({"ku": UNIT, "relations": EDGE, "cards": CARD, "cache": CACHE})
+        return self.store.clear({"ku": UNIT, "relations": EDGE, "cards": CARD, "cache": CACHE, "seen": SEEN})
 
     # --- units and graph ---
 

@@ -60,7 +60,7 @@ def test_abilities(engine):
     assert engine.recent_events(10, "ability.created").count() == 1
 
 
-def test_operation(engine, spark):
+def test_operation(engine, spark, tmp_path):
     assert engine.health() and engine.config()["provider"] == "local"
     assert engine.set_config(provider="openai", api_key="sk-1234567890")["api_key"] == "sk-…90"
     with pytest.raises(Invalid):
@@ -70,4 +70,10 @@ def test_operation(engine, spark):
     rows = [(1, "t", "Some matured memory", ["m1"]), (2, "t", "Some matured memory", ["m1"])]
     got = engine.crystallize(spark.createDataFrame(rows, "ord int, title string, content string, event_refs array<string>"))
     assert {r.outcome: r.n for r in got.collect()} == {"crystallized": 1, "skipped_dup": 1}
+    got = engine.crystallize(spark.createDataFrame([(1, "t", "Some matured memory", ["m1"])], "ord int, title string, content string, event_refs array<string>"))
+    assert {r.outcome: r.n for r in got.collect()} == {"skipped_dup": 1}
+    spark.createDataFrame([(1, "t", "A streamed memory", ["m9"]), (2, "t", "x", ["m1"])], "ord int, title string, content string, event_refs array<string>").write.parquet(str(tmp_path / "in"))
+    before = engine.units().count()
+    engine.consume(spark.readStream.schema("ord int, title string, content string, event_refs array<string>").parquet(str(tmp_path / "in")), str(tmp_path / "state")).awaitTermination()
+    assert engine.units().where("name LIKE '%streamed%'").count() >= 1 and engine.units().count() > before
     assert engine.reset() > 0 and engine.units().count() == 0
