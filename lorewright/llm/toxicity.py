@@ -258,7 +258,7 @@ def _sample_scores(weights: dict[str, float]):
 
 
 def best_threshold(scores: list[float], toxic: list[int]) -> float:
-    """The threshold of highest F1, in the middle of its gap; ties go to the higher one."""
+    """The threshold of highest F1, a quarter up the gap below it (rather catch than miss); ties go to the higher one."""
     order = np.argsort(-np.asarray(scores), kind="stable")
     s, y = np.asarray(scores)[order], np.asarray(toxic)[order]
     if not y.sum():
@@ -269,7 +269,7 @@ def best_threshold(scores: list[float], toxic: list[int]) -> float:
     f1 = np.where(last, 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum()), -1)
     k = int(np.argmax(f1))
     below = s[k + 1] if k + 1 < len(s) else 0.0
-    return float((s[k] + below) / 2)
+    return float(below + (s[k] - below) / 4)
 
 
 def score(docs: DataFrame, model: Model | None = None, id_column: str = "doc_id", text_column_name: str = "text") -> DataFrame:
