@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ._store import written
+
 #: Production parameters.
 BLOCK_TOKENS, SHARD_DOCS, SEED, EXPONENT = 2_000, 50_000, 17, 0.7
 
@@ -74,7 +76,8 @@ def quotas(docs_blocks: DataFrame, weights: DataFrame) -> DataFrame:
 
 def select(docs: DataFrame, weights: DataFrame | None = None, block_tokens: int = BLOCK_TOKENS, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """Every document with its shard, block, the source's quota there, and ``taken``."""
-    cut = blocks(docs, block_tokens, shards, seed)
+    # Quotas need all blocks before a document can be taken: the table of numbers is written, the texts are read once.
+    cut = written(blocks(docs, block_tokens, shards, seed), "blocks")
     allot = quotas(cut, tempered(cut) if weights is None else weights)
     allot = allot.select(F.col("shard").alias("_h"), F.col("source").alias("_s"), "quota")
     # A row per (shard, source): fixed by the list of sources, not by the corpus; AQE broadcasts it only if it is small.
