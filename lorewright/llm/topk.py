@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._store import written
 
@@ -71,26 +71,26 @@ def rotation(vectors: DataFrame) -> np.ndarray:
     return np.ascontiguousarray(np.linalg.eigh(total.reshape(d, d))[1][:, ::-1])
 
 
-def _block(turn: np.ndarray):
+def _block(kind: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         v = matrix(table.column("v").combine_chunks())
         order = np.lexsort([table.column("id").to_numpy(), -np.linalg.norm(v, axis=1)])
         v = v[order]
         ids = table.column("id").to_numpy()[order]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "longest": [float(np.linalg.norm(v, axis=1).max())], "n": pa.array([len(v)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "plain": pa.array([v.tobytes()], pa.binary()), "turned": pa.array([(v @ turn).tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "longest": [float(np.linalg.norm(v, axis=1).max())], "n": pa.array([len(v)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "plain": pa.array([v.astype(kind).tobytes()], pa.binary())})
 
     return run
 
 
-def blocks(vectors: DataFrame, turn: np.ndarray, block: int) -> DataFrame:
-    """Blocks of vectors in descending length, as binary matrices, written."""
+def blocks(vectors: DataFrame, block: int, kind: str = "<f8") -> DataFrame:
+    """Blocks of vectors in descending length, as binary matrices of the vectors' own precision, written."""
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     ranked = vectors.withColumn("length", length)
     n = vectors.count()
     parts = max(1, -(-n // block))
     # Range partitions of the length are the blocks; no global sort in one task.
     keyed = ranked.repartitionByRange(parts, F.desc("length"), "id").withColumn("block", F.spark_partition_id().cast("bigint"))
-    return written(keyed.groupBy("block").applyInArrow(_block(turn), "block bigint, longest double, n int, ids binary, plain binary, turned binary"), "vector-blocks")
+    return written(keyed.groupBy("block").applyInArrow(_block(kind), "block bigint, longest double, n int, ids binary, plain binary"), "vector-blocks")
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _search(k: int, lead: int):
+def _search(turn: np.ndarray, k: int, lead: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = None
 
@@ -114,7 +114,8 @@ def _search(k: int, lead: int):
             for r in batch.to_pylist():
                 n = r["n"]
                 ids = np.frombuffer(r["ids"], np.int64)
-                plain, turned = (np.frombuffer(r[c]).reshape(n, -1) for c in ("plain", "turned"))
+                plain = np.frombuffer(r["plain"], kind).reshape(n, -1).astype(np.float64)
+                turned = plain @ turn
                 rest = np.sqrt(np.maximum(0, (turned[:, lead:] ** 2).sum(axis=1)))
                 if r["role"] == 0:
                     yield from result()
@@ -160,13 +161,14 @@ def _search(k: int, lead: int):
 def nearest(vectors: DataFrame, k: int = K, block: int = BLOCK, lead: int = LEAD) -> DataFrame:
     """(vec_id, rank, neighbor, score): each vector's k highest inner products with others."""
     table = written(clean(vectors), "vectors")
-    turn = rotation(table)
-    cut = blocks(table, turn, block)
-    queries = cut.select(F.col("block").alias("q"), F.lit(0).alias("role"), "block", "longest", "n", "ids", "plain", "turned")
-    base = cut.select("block").withColumnRenamed("block", "q").crossJoin(cut.select(F.lit(1).alias("role"), "block", "longest", "n", "ids", "plain", "turned"))
+    single = isinstance(getattr(vectors.schema["embedding"].dataType, "elementType", None), T.FloatType)
+    kind = "<f4" if single else "<f8"
+    cut = blocks(table, block, kind)
+    queries = cut.select(F.col("block").alias("q"), F.lit(0).alias("role"), "block", "longest", "n", "ids", "plain")
+    base = cut.select("block").withColumnRenamed("block", "q").crossJoin(cut.select(F.lit(1).alias("role"), "block", "longest", "n", "ids", "plain"))
     parts = max(1, cut.count())
     stream = queries.unionByName(base).repartition(parts, "q").sortWithinPartitions("q", "role", F.desc("longest"), "block")
-    return stream.drop("q", "block").mapInArrow(_search(k, lead), "vec_id bigint, rank int, neighbor bigint, score double")
+    return stream.drop("q", "block").mapInArrow(_search(rotation(table), k, lead, kind), "vec_id bigint, rank int, neighbor bigint, score double")
 
 
 def oracle_sql() -> str:
