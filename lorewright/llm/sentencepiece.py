@@ -9,7 +9,9 @@ bitfield of failed ends is set, so no position fails twice.  The result equals
 that of running all merges: a cut is in the merged text if and only if it is in
 the merge of its two neighbours.
 
-Characters that the vocabulary lacks become byte pieces.  No piece spans a
+Characters that the vocabulary lacks become byte pieces.  Where no piece has a
+word's last character behind the one before it (a comma after a letter), no
+merge can join them, and it is encoded by itself.  No piece spans a
 blank that follows another character, so the text is cut before blanks and
 every distinct word of a batch is encoded once; Arrow then gathers the ids.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import ahocorasick
@@ -36,10 +39,11 @@ from ._words import slices
 
 #: The vocabulary; a path that every executor has.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct words, and pairs of tokens, kept by a worker; at that number it starts anew.
-CACHE_WORDS, CACHE_PAIRS = 200_000, 500_000
+#: Words, and pairs of tokens, that a worker keeps in each of two generations.
+CACHE_WORDS, CACHE_PAIRS = 200_000, 300_000
 SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
+_NEVER = float("-inf")
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -90,10 +94,14 @@ class Codec:
                 raise ValueError("a piece spans words")
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.text = [b.decode("utf-8", "replace") for b in self.bytes]
         self._fits: dict[int, bool] = {}
+        self._older_fits: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self.pieces = pa.array(self.bytes, pa.binary())
+        self.pairs = {piece[k : k + 2] for piece in self.id for k in range(len(piece) - 1)}
+        self._char = lru_cache(4096)(self._char)
+        self._state = bytearray(len(self.bytes))  # of each piece: 0 unknown, 1 what its text merges to, 2 not
 
     def _piece(self, fields: dict) -> None:
         i, kind, text = len(self.bytes), fields.get(3, _NORMAL), fields[1].decode()
@@ -110,101 +118,123 @@ class Codec:
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging, best score first, leftmost on ties."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
+        parts, get = list(text), self.score.get
+        gain = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while gain:
+            best = max(gain)
+            if best == _NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            k = gain.index(best)
+            parts[k] += parts.pop(k + 1)
+            del gain[k]
+            if k:
+                gain[k - 1] = get(parts[k - 1] + parts[k], _NEVER)
+            if k < len(gain):
+                gain[k] = get(parts[k] + parts[k + 1], _NEVER)
         return parts
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``left`` and ``right`` stay two tokens when their text is merged."""
-        key = self._number(left) << 32 | self._number(right)
-        known = self._fits.get(key)
-        if known is None:
-            known = left + right not in self.id and (len(left) + len(right) == 2 or self.merge(left + right) == [left, right])
-            if len(self._fits) >= CACHE_PAIRS:
-                self._fits.clear()
-            self._fits[key] = known
-        return known
-
-    def _number(self, token: str) -> int:
-        """A token's id; beyond all ids, a character that has none."""
-        i = self.id.get(token)
-        return len(self.bytes) + ord(token) if i is None else i
-
-    def cut(self, word: str) -> list[str]:
-        """The pieces of a word by backtracking."""
-        if word in self.id and (len(word) < 2 or self.merge(word) == [word]):
-            return [word]
+        both = left + right
+        return both not in self.id and (len(both) == 2 or self.merge(both) == [left, right])
+
+    def cut(self, word: str) -> list[int]:
+        """The ids of a word's pieces by backtracking; -1 - code point for a character without a piece."""
+        whole = self.id.get(word)
+        if whole is not None and self._whole(whole, word):
+            return [whole]
         n = len(word)
-        matches: list[list[int]] = [[] for _ in range(n)]
-        for end, (size, _) in self.automaton.iter(word):
-            matches[end - size + 1].append(size)
-        for own in matches:
-            own.sort()
-            if not own or own[0] != 1:
-                own.insert(0, 1)  # a character without a piece stands for its bytes
+        matches: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for end, match in self.automaton.iter(word):
+            # Ends grow, so each start gets its matches by growing size.
+            matches[end - match[0] + 1].append(match)
         failed = bytearray(n // 8 + 1)  # bit p: no valid rest from position p
-        out: list[str] = []
-        todo = [list(matches[0])]
+        ids: list[int] = []
+        cuts = [0]
+        todo = [matches[0].copy() if matches[0] and matches[0][0][0] == 1 else [(1, -1 - ord(word[0])), *matches[0]]]
         at = 0
         while at < n:
             options = todo[-1]
             while options:
-                size = options.pop()
+                size, token = options.pop()
                 end = at + size
                 if end < n and failed[end >> 3] >> (end & 7) & 1:
                     continue
-                token = word[at:end]
-                if size > 2 and not self._whole(token):
+                if size > 2 and not self._whole(token, word[at:end]):
                     continue
-                if out and not self.fits(out[-1], token):
+                if ids and not self._follows(ids[-1], token, word, cuts[-2], at, end):
                     continue
-                out.append(token)
+                ids.append(token)
+                cuts.append(end)
                 at = end
-                todo.append(list(matches[at]) if at < n else [])
+                if at < n:
+                    own = matches[at]
+                    todo.append(own.copy() if own and own[0][0] == 1 else [(1, -1 - ord(word[at])), *own])
                 break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 todo.pop()
-                at -= len(out.pop())
-        return out
+                ids.pop()
+                cuts.pop()
+                at = cuts[-1]
+        return ids
+
+    def _follows(self, left: int, right: int, word: str, start: int, at: int, end: int) -> bool:
+        """:meth:`fits` of ``word[start:at]`` and ``word[at:end]``, kept by their ids."""
+        key = left << 32 ^ right
+        fit = self._fits.get(key)
+        if fit is None:
+            fit = self._older_fits.get(key)
+            if fit is None:
+                fit = self.fits(word[start:at], word[at:end])
+            if len(self._fits) >= CACHE_PAIRS:
+                self._older_fits, self._fits = self._fits, {}
+            self._fits[key] = fit
+        return fit
 
-    def _whole(self, token: str) -> bool:
+    def _whole(self, token: int, text: str) -> bool:
         """Whether merging a piece's own text yields the piece."""
-        key = -1 - self.id[token]
-        known = self._fits.get(key)
-        if known is None:
-            known = self._fits[key] = self.merge(token) == [token]
-        return known
+        state = self._state[token]
+        if not state:
+            state = self._state[token] = 1 if self.merge(text) == [text] else 2
+        return state == 1
 
     def word_ids(self, word: str) -> bytes:
         """Ids of one word (blanks written as U+2581, and only in front) as 32-bit integers."""
+        if "\n" in word:
+            return self._char("\n").join(map(self._line, word.split("\n")))
+        return self._line(word)
+
+    def _line(self, word: str) -> bytes:
+        """Ids of a word; last characters that no piece has behind the one before them are pieces of their own."""
+        end, pairs = len(word), self.pairs
+        while end > 1 and word[end - 2 : end] not in pairs:
+            end -= 1
+        ids = self._core(word[:end]) if end else b""
+        return ids + b"".join(map(self._char, word[end:])) if end < len(word) else ids
+
+    def _char(self, c: str) -> bytes:
+        i = self.id.get(c)
+        return np.array([self.byte[b] for b in c.encode("utf-8", "replace")] if i is None else [i], np.int32).tobytes()
+
+    def _core(self, word: str) -> bytes:
         known = self._words.get(word)
         if known is not None:
             return known
-        ids: list[int] = []
-        for k, line in enumerate(word.split("\n")):
-            if k:
-                ids.append(self.byte[10])
-            for token in self.cut(line) if line else ():
-                i = self.id.get(token)
-                if i is None:
-                    ids.extend(self.byte[b] for b in token.encode("utf-8", "replace"))
+        known = self._older.get(word)
+        if known is None:
+            ids: list[int] = []
+            for i in self.cut(word):
+                if i < 0:
+                    ids.extend(self.byte[b] for b in chr(-1 - i).encode("utf-8", "replace"))
                 else:
                     ids.append(i)
-        out = np.array(ids, np.int32).tobytes()
+            known = np.array(ids, np.int32).tobytes()
         if len(word) <= 64:
             if len(self._words) >= CACHE_WORDS:
-                self._words.clear()
-            self._words[word] = out
-        return out
+                self._older, self._words = self._words, {}
+            self._words[word] = known  # one that comes again outlives the others
+        return known
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
