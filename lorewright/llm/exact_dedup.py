@@ -21,8 +21,6 @@ by :func:`deduplicate` and ignored by :func:`groups`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F

@@ -37,7 +37,6 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._store import written
