@@ -5,15 +5,17 @@ the cube root of its count (in eighths, so that sums are exact and equal texts
 have equal fingerprints).  Two documents are near copies if their fingerprints
 differ in at most ``TAU`` bits.
 
-Candidates share one of eight 32-bit blocks, up to the bits that are least
-certain: of each block a document gives the value itself and those with any
-of its three bits of smallest margin turned, for near copies differ just
-there.  A candidate must then pass the pigeonring test: the ring of 32
+Candidates share a 32-bit block, up to the bits that are least certain: of
+each block a document gives the value itself and those with any of its three
+bits of smallest margin turned, for near copies differ just there.  The bits
+are cut into eight blocks in four ways, and blocks of different cuts have at
+most a byte in common, so that pairs at ``TAU`` are found too, not only near
+ones.  A candidate must then pass the pigeonring test: the ring of 32
 segments of 8 bits must have a chain of ``CHAIN`` consecutive segments each of
 whose prefixes of l segments differs in at most l * TAU / 32 bits.  Every pair
 within ``TAU`` has such a chain, so the test loses nothing; what passes gets
 the full Hamming check.  Only the search by blocks is approximate (recall
-against brute force is measured in the tests).
+against brute force is measured in the tests, by distance up to ``TAU``).
 
 Equal fingerprints are collapsed first, so copies cost nothing.  A bucket's
 pairs are explored as a spanning forest: a document that is already reached is
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import written
 from ._words import mix64, slices, text_column, word_codes
@@ -48,6 +50,12 @@ BITS, TAU, RADIUS = 256, 40, 50
 WORDS = ("f0", "f1", "f2", "f3")
 SEGMENTS, CHAIN = 32, 4
 BLOCKS, WEAK = 8, 3
+#: Bytes of every block: of the cut into neighbours, then of cuts that take one byte of each word.
+CUTS = np.array([[4 * q + w for w in range(4)] for q in range(BLOCKS)] + [[8 * w + (q + s * w) % 8 for w in range(4)] for s in (0, 1, 3) for q in range(BLOCKS)])
+#: Places of the weakest bits, 12 in each.
+WEAKEST = tuple(f"weak{i}" for i in range(len(CUTS) * WEAK // 12))
+#: Fingerprints whose keys are made at once.
+_KEYED = 2048
 #: Words of a text that the kernel gathers at once.
 _GATHER = 8192
 
@@ -80,11 +88,11 @@ def margins(texts: pa.Array) -> np.ndarray:
 
 
 def pack(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) fingerprints as int64, and (n, 2) places of each block's weakest bits, 5 bits each."""
+    """(n, 4) fingerprints as int64, and (n, 8) places of each block's weakest bits, 5 bits each."""
     words = np.packbits(z >= 0, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-    blocks = np.abs(z).reshape(len(z), BLOCKS, BITS // BLOCKS)
-    weakest = np.argsort(blocks, axis=2, kind="stable")[:, :, :WEAK].reshape(len(z), 2, -1)
-    return words, ((31 - weakest).astype(np.int64) << (5 * np.arange(BLOCKS * WEAK // 2))).sum(axis=2)
+    blocks = np.abs(z).reshape(len(z), BITS // 8, 8)[:, CUTS].reshape(len(z), len(CUTS), BITS // BLOCKS)
+    weakest = np.argsort(blocks, axis=2, kind="stable")[:, :, :WEAK].reshape(len(z), len(WEAKEST), -1)
+    return words, ((31 - weakest).astype(np.int64) << (5 * np.arange(12))).sum(axis=2)
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,30 +100,35 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, "text", 2 << 20):
             words, weak = pack(margins(text_column(batch, "text")))
             own = [batch.column(batch.schema.get_field_index("doc_id")), *map(pa.array, words.T.copy()), *map(pa.array, weak.T.copy())]
-            yield pa.RecordBatch.from_arrays(own, names=["doc_id", *WORDS, "weak0", "weak1"])
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", *WORDS, *WEAKEST])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0 .. f3, weak0, weak1) of the rows that have an id and a text."""
+    """(doc_id, f0 .. f3, weak0 .. weak7) of the rows that have an id and a text."""
     rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprint, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*WORDS, "weak0", "weak1")))
-
-
-def _keys() -> Column:
-    """The 8 x 8 bucket keys of a fingerprint: block number, then the block with weak bits turned."""
-    keys = []
-    for q in range(BLOCKS):
-        word = F.col(WORDS[q // 2])
-        value = F.shiftrightunsigned(word, 32) if q % 2 == 0 else word.bitwiseAND(F.lit((1 << 32) - 1))
-        place = [divmod(q * WEAK + w, BLOCKS * WEAK // 2) for w in range(WEAK)]
-        flips = [F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(weak{half}, {5 * k}) & 31 AS INT))") for half, k in place]
-        for mask in range(1 << WEAK):
-            key = value
-            for w in range(WEAK):
-                if mask >> w & 1:
-                    key = key.bitwiseXOR(flips[w])
-            keys.append(key.bitwiseOR(F.lit(q << 32)))
-    return F.array(*keys)
+    return rows.mapInArrow(_fingerprint, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*WORDS, *WEAKEST)))
+
+
+def keys(words: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """(n, 32 * 8) bucket keys of fingerprints: block number, then the block with weak bits turned."""
+    n = len(words)
+    values = np.ascontiguousarray(words.astype(">i8").view(np.uint8).reshape(n, BITS // 8)[:, CUTS]).view(">u4").reshape(n, len(CUTS)).astype(np.int64)
+    places = (weak[:, :, None] >> (5 * np.arange(12)) & 31).reshape(n, len(CUTS), WEAK)
+    flips = np.left_shift(np.int64(1), places)
+    turned = [values | np.arange(len(CUTS), dtype=np.int64) << 32]
+    for w in range(WEAK):
+        turned += [x ^ flips[:, :, w] for x in turned]
+    return np.stack(turned, axis=2).reshape(n, -1)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _KEYED):
+            batch = whole.slice(at, _KEYED)
+            words, weak = (np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names], axis=1) for names in (WORDS, WEAKEST))
+            own = keys(words, weak)
+            ids = batch.column(batch.schema.get_field_index("id")).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids, own.shape[1]))], names=["key", "id"])
 
 
 def pigeonring(x: np.ndarray, y: np.ndarray, tau: int = TAU) -> np.ndarray:
@@ -206,7 +219,7 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     the others' member sets, each once however many keys have it, are then
     joined with the fingerprints.
     """
-    keyed = nodes.select(F.explode(_keys()).alias("key"), "id").repartition("key").sortWithinPartitions("key")
+    keyed = nodes.select("id", *WORDS, *WEAKEST).mapInArrow(_keyed, "key bigint, id bigint").repartition("key").sortWithinPartitions("key")
     buckets = keyed.mapInArrow(_buckets, "bucket bigint, id bigint").distinct()
     filled = buckets.join(nodes.select("id", *WORDS), "id").repartition("bucket").sortWithinPartitions("bucket")
     return filled.select("bucket", "id", *WORDS).mapInArrow(_pairs, "a bigint, b bigint").distinct()
@@ -246,8 +259,8 @@ def _leaders(key: tuple, table: pa.Table) -> pa.Table:
 def members(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, rows) of every row that is in a group, also of one."""
     prints = written(fingerprints(docs), "simhash")
-    nodes = prints.groupBy(*WORDS).agg(F.min(F.struct("doc_id", "weak0", "weak1")).alias("m"))
-    nodes = written(nodes.select(F.col("m.doc_id").alias("id"), *WORDS, F.col("m.weak0").alias("weak0"), F.col("m.weak1").alias("weak1")), "simhash-nodes")
+    nodes = prints.groupBy(*WORDS).agg(F.min(F.struct("doc_id", *WEAKEST)).alias("m"))
+    nodes = written(nodes.select(F.col("m.doc_id").alias("id"), *WORDS, *(F.col(f"m.{c}").alias(c) for c in WEAKEST)), "simhash-nodes")
     roots = components(near_pairs(nodes))
     roots = roots.union(roots.select(F.col("root").alias("id"), "root")).distinct()
     led = nodes.join(roots, "id").select("root", "id", *WORDS).groupBy("root").applyInArrow(_leaders, "id bigint, leader bigint")

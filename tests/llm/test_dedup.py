@@ -170,6 +170,20 @@ def test_recall_on_documents(spark):
     assert sum(got[at[a]] == got[at[b]] for a, b in together) / len(together) >= 0.9
 
 
+def test_recall_at_every_distance(docs):
+    """Lone pairs with edits up to what TAU covers; all pairs within TAU count."""
+    r = random.Random(3)
+    bases = [prose(r, r.randint(300, 500)) for _ in range(900)]
+    texts = [" ".join(x) for base in bases for x in (base, edited(r, base, r.uniform(0.02, 0.16)))]
+    words, _ = prints_of(texts)
+    distance = np.bitwise_count((words[::2] ^ words[1::2]).view(np.uint64)).sum(axis=1)
+    got = {x.doc_id: x.keep_id for x in sh.groups(docs(*texts)).collect()}
+    found = np.array([got[2 * i] == got[2 * i + 1] for i in range(len(bases))])
+    for low, high in ((0, 20), (21, 30), (31, 35), (36, sh.TAU)):
+        band = (distance >= low) & (distance <= high)
+        assert band.sum() >= 50 and found[band].mean() >= 0.9, (low, high, band.sum(), found[band].mean())
+
+
 def test_simhash_cases(clashing, docs):
     r = random.Random(4)
     long = " ".join(prose(r, 60_000))
