@@ -7,8 +7,10 @@ bigram model of ordinary words, the share of it that dictionary words cover,
 its alphabet, the path (source) it was found under, and the neighbouring
 words.  The forest is fitted on labelled findings; where none are given, on
 ``synthetic_findings``: generated keys against identifiers, digests, card
-numbers and placeholders.  Dictionary and transitions come from a bounded sample
-of documents (``MAX_SAMPLE``), those of lowest hash.
+numbers and placeholders.  Transitions are counted over the words of all
+documents; the dictionary has every word that a part of the corpus (a source,
+in a language where the table has ``lang``) uses in ``MIN_SHARE`` of its
+documents, so that a hot source doesn't crowd out the words of others.
 
 Defined results: null and empty texts have no findings; a null source is the
 empty path; overlapping candidates count once, the assigned one first; equal
@@ -32,10 +34,11 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._words import slices, text_column, word_codes
+from ._store import written
+from ._words import row_of, slices, text_column, word_codes
 
-#: Documents for dictionary and transitions at most, words of the dictionary at most, and labelled findings at most.
-MAX_SAMPLE, MAX_DICTIONARY, MAX_LABELLED = 2_000, 20_000, 20_000
+#: Documents of a source and language that have a word of the dictionary at least, as a number and a share; labelled findings at most.
+MIN_DOCS, MIN_SHARE, MAX_LABELLED = 3, 1 / 2_000, 20_000
 TREES, DEPTH, THRESHOLD = 40, 8, 0.5
 #: Characters of context on each side whose words are neighbours.
 CONTEXT = 48
@@ -83,27 +86,45 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by part: their occurrences and the number of rows that have them, slice by slice."""
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 20):
-            _, codes, words = word_codes(text_column(batch, "text"))
-            count = np.bincount(codes, minlength=len(words)) if len(words) else []
-            own = [(w, int(n)) for w, n in zip(words, count) if n and 4 <= len(w) <= 16 and w.isalpha()]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
-
-
-def learn_language(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Language:
-    """Dictionary and transitions from at most ``max_sample`` documents."""
-    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_sample).distinct()
-    # Bounded by max_sample ids whatever the corpus is, hence broadcast.
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    counts = sample.mapInArrow(_vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
-    rows = counts.orderBy(F.desc("n"), "word").limit(MAX_DICTIONARY).collect()
+        for batch in slices(whole, "text"):
+            offsets, codes, words = word_codes(text_column(batch, "text"))
+            fit = np.array([4 <= len(w) <= 16 and w.isalpha() for w in words], bool)
+            own, base = fit[codes] if len(codes) else np.zeros(0, bool), max(1, len(words))
+            parts, part = np.unique(batch.column(batch.schema.get_field_index("part")).to_numpy(), return_inverse=True)
+            row, code = np.divmod(np.unique(row_of(offsets)[own] * base + codes[own]), base)
+            at, n = np.unique(part[row_of(offsets)[own]] * base + codes[own], return_counts=True)
+            rows = np.unique(part[row] * base + code, return_counts=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(parts[at // base]), pa.array([words[k] for k in at % base], pa.string()), pa.array(n), pa.array(rows)], names=["part", "word", "n", "docs"])
+
+
+def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each pair of classes, first * 27 + second, in a batch's words."""
+    for batch in batches:
+        words = [f" {w.lower()} " for w in batch.column(0).to_pylist()]
+        codes = _codes("".join(words))
+        n = np.repeat(batch.column(1).to_numpy(), [len(w) for w in words])
+        table = np.bincount(codes[:-1] * 27 + codes[1:], weights=n[:-1])
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], names=["cell", "n"])
+
+
+def learn_language(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> Language:
+    """Transitions of all documents' words, and the words that enough documents of a source and language have."""
+    part = F.xxhash64(*[c for c in ("source", "lang") if c in docs.columns]).alias("part")
+    rows = docs.where("text IS NOT NULL").select("text", part)
+    counts = rows.mapInArrow(_vocabulary, "part bigint, word string, n bigint, docs bigint")
+    counts = written(counts.groupBy("part", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "secret-words")
     table = np.full((27, 27), 0.5)
-    for word, n in rows:
-        codes = _codes(f" {word} ")
-        np.add.at(table, (codes[:-1], codes[1:]), n)
+    # 729 cells at most, whatever the corpus is.
+    for r in counts.select("word", "n").mapInArrow(_transitions, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[divmod(r.cell, 27)] += r.n
     table[0, 0] = 0.5
-    return Language(frozenset(r[0] for r in rows), np.log(table / table.sum(axis=1, keepdims=True)))
+    parts = rows.groupBy("part").agg((F.count("*") * min_share).alias("least"))
+    # A share of documents bounds it: of a part, to the words of a document divided by the share.
+    words = counts.where(F.col("docs") >= min_docs).join(parts, "part").where("docs >= least").select("word").distinct().collect()
+    return Language(frozenset(r.word for r in words), np.log(table / table.sum(axis=1, keepdims=True)))
 
 
 def features(language: Language, text: str, before: str, after: str, path: str, assigned: bool) -> list[float]:

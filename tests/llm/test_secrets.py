@@ -19,6 +19,23 @@ def test_candidates():
     assert s.candidates("token" * 100_000) == [] and len(s.candidates("a1" * 300_000)) == 1
 
 
+def test_language_of_all_documents(docs):
+    """A small source's words are known however few its documents are, and every document counts."""
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(8))
+    hot, small = [word("abcdefgh") for _ in range(30_000)], [word("qrstuvwxyz") for _ in range(10)]
+    rows = [(i, " ".join(hot[(20 * i + k) % len(hot)] for k in range(20)), "hot") for i in range(6000)]
+    rows += [(6000 + i, " ".join(small), "small") for i in range(4)]
+    got = s.learn_language(docs(*rows))
+    assert set(small) <= got.words and len(set(hot) & got.words) == len(set(hot))
+    table = np.full((27, 27), 0.5)
+    for _, text, _ in rows:
+        for w in text.split():
+            codes = s._codes(f" {w} ")
+            np.add.at(table, (codes[:-1], codes[1:]), 1)
+    assert np.allclose(got.transition, np.log(table / table.sum(axis=1, keepdims=True)))
+
+
 def test_held_out_accuracy(spark):
     rows = s.synthetic_findings(sorted(LANGUAGE.words), 3000, seed=1)
     model = s.train(spark, LANGUAGE, rows[:2000])
