@@ -22,6 +22,7 @@ The secret itself is never put out, only its place, length and SHA-256.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 from collections.abc import Iterator
@@ -45,10 +46,10 @@ CONTEXT = 48
 
 _KEY = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9_+/=.\-]{16,}(?![\w+/=-])")
 #: No part before the telling name and a bounded one after: linear in a text of one endless word.
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|credential)\w{0,64}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'`,;<>]{8,})")
-_HINT = "(?i)password|passwd|pwd|secret|token|api_?key|access_?key|credential"
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential|passphrase|auth(?!or(?!iz)|entic)|bearer)\w{0,64}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'`,;<>]{8,})")
+_HINT = "(?i)password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential|passphrase|auth|bearer"
 _WORD = re.compile(r"[A-Za-z]{2,}")
-SECRET_WORDS = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials access private login".split())
+SECRET_WORDS = frozenset("password passwd passphrase pwd secret token key apikey api auth bearer credential credentials access private login".split())
 PLAIN_WORDS = frozenset("example sample dummy placeholder changeme commit sha md5 checksum digest hash uuid guid revision version build card phone fax order invoice isbn".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "eyJ", "glpat-", "npm_", "ya29.")
 FEATURES = ("length", "transition", "dictionary", "entropy", "digits", "upper", "hex", "classes", "runs", "prefix", "assigned", "quoted", "secret_words", "plain_words", "path_test", "path_config")
@@ -196,12 +197,17 @@ def synthetic_findings(words: list[str], n: int = 6000, seed: int = 7) -> list[t
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     hexa, base, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789"
     prose = lambda: " ".join(r.choice(words) for _ in range(5))
+    lead = [" Authorization: Bearer ", " authorization bearer ", " private key ", " passphrase ", " login with ", " https://api/v1?key="]
     out = []
     for _ in range(n):
         path = r.choice(["src1", "src12", "app/config.env", "deploy/prod.yml", "tests/fixture.txt", "docs/example.md", ""])
         if r.random() < 0.5:
             secret = r.choice([lambda: pick(hexa, r.choice([32, 40, 64])), lambda: pick(hexa, 40).upper(), lambda: "AKIA" + pick(base.upper(), 16), lambda: "ghp_" + pick(base, 36), lambda: pick(base + "+/", 40), lambda: "sk_live_" + pick(base, 24), lambda: pick(base, r.randint(16, 48)), lambda: pick(base + "!@#$%", r.randint(10, 20))])()
-            name = r.choice(["token", "password", "secret", "api_key", "TOKEN", "auth_token", "access_key", "PASSWORD"])
+            if r.random() < 0.2:  # bare, often without a prefix, with secret neighbour words or, where it looks like nothing else, without
+                mixed = pick(base, r.randint(24, 48))
+                out.append((secret, prose() + r.choice(lead), " " + prose(), path, False, 1) if r.random() < 0.7 else (mixed, prose() + " ", " " + prose(), path, False, 1))
+                continue
+            name = r.choice(["token", "password", "secret", "api_key", "TOKEN", "auth_token", "access_key", "PASSWORD", "private_key", "passphrase", "auth", "bearer"])
             form = r.choice([' = "', ": ", "=", " = '", '": "'])
             out.append((secret, f"{prose()} {name}{form}", f'" {prose()}', path, True, 1) if r.random() < 0.85 or not secret.startswith(PREFIXES) else (secret, prose() + " ", " " + prose(), path, False, 1))
             continue
@@ -224,9 +230,15 @@ def synthetic_findings(words: list[str], n: int = 6000, seed: int = 7) -> list[t
     return out
 
 
+def by_hash(items, most: int, seed: int = 7) -> list:
+    """The ``most`` items of lowest seeded hash."""
+    return heapq.nsmallest(most, items, key=lambda x: hashlib.sha256(f"{seed}|{x!r}".encode("utf-8", "surrogatepass")).digest())
+
+
 def train(spark: SparkSession, language: Language, labelled: list[tuple[str, str, str, str, bool, int]] | None = None, seed: int = 7) -> RandomForestClassificationModel:
-    """Forest from labelled findings (candidate, before, after, path, assigned, label), ``MAX_LABELLED`` at most."""
-    rows = (labelled if labelled is not None else synthetic_findings(sorted(language.words)[:5000]))[:MAX_LABELLED]
+    """Forest from labelled findings (candidate, before, after, path, assigned, label), the ``MAX_LABELLED`` of lowest hash at most."""
+    rows = labelled if labelled is not None else synthetic_findings(sorted(by_hash(language.words, 5000)))
+    rows = by_hash(rows, MAX_LABELLED) if len(rows) > MAX_LABELLED else rows
     table = pa.table({"features": [features(language, *r[:5]) for r in rows], "label": [float(r[5]) for r in rows]})
     df = spark.createDataFrame(table).select(array_to_vector("features").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(df)

@@ -47,6 +47,23 @@ def test_held_out_accuracy(spark):
     assert model.transform(df).where("prediction = y").count() / len(held) > 0.95
 
 
+def test_bare_keys_and_names(spark, docs):
+    r = random.Random(2)
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    rows = [f"the index window Authorization: Bearer {key()} reader table value" for _ in range(20)] + [f"the house reader private_key: {key()} index" for _ in range(20)]
+    rows += [f"the house commit {r.randrange(16**39, 16**40):040x} reader table" for _ in range(20)]
+    got = {x.doc_id: x.secret for x in s.scan(docs(*rows)).collect()}
+    assert sum(got[i] for i in range(20)) >= 18 and sum(got[i] for i in range(20, 40)) >= 18 and sum(got[i] for i in range(40, 60)) <= 2
+    assert [x for _, _, x in s.candidates(f"passphrase = hunter2hunter2 private_key: {key()}")] == [True, True]
+    assert s.candidates("author: somebody authority = somewhere") == []
+
+
+def test_labels_and_words_by_hash():
+    words = [f"w{i:05d}" for i in range(9000)]
+    got = s.by_hash(words, 900)
+    assert got == s.by_hash(words[::-1], 900) and sum(w >= "w04500" for w in got) > 350
+
+
 def test_documents(spark):
     got = registry.op6_secret_scan(spark, SF).collect()
     docs = {r.doc_id: r.text for r in registry.table(spark, SF, "documents").collect()}
