@@ -1,3 +1,5 @@
+import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -13,19 +15,21 @@ def test_oracle(spark):
     assert_same(registry.op2_source_mix(spark, SF), m.oracle_sql(), SF)
 
 
-def sainte_lague(available, weights):
-    """Block by block to the highest quotient, until a source would win beyond its last."""
+def sainte_lague(available, weights, keep=m.KEEP):
+    """Block by block to the highest quotient among the sources that have blocks left; ties to the first by name."""
     quota = dict.fromkeys(available, 0)
-    while True:
-        live = [s for s in available if weights.get(s, 0) > 0]
+    for _ in range(math.ceil(sum(available.values()) * keep)):
+        live = [s for s in available if (weights.get(s) or 0) > 0 and quota[s] < available[s]]
         if not live:
-            return quota
-        best = max(weights[s] / (2 * quota[s] + 1) for s in live)
-        if any(quota[s] == available[s] and weights[s] / (2 * quota[s] + 1) == best for s in live):
-            return quota
-        for s in live:
-            if weights[s] / (2 * quota[s] + 1) == best:
-                quota[s] += 1
+            break
+        quota[min(live, key=lambda s: (-weights[s] / (2 * quota[s] + 1), s is not None, s or ""))] += 1
+    return quota
+
+
+def quotas(spark, available, weights, keep=m.KEEP):
+    cut = spark.createDataFrame([(0, s, n - 1) for s, n in available.items()], "shard int, source string, block bigint")
+    w = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    return {r.source: r.quota for r in m.quotas(cut, w, keep).collect()}
 
 
 @pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 5.0, "b": 2.0, "c": 0.5}, {"a": 1.0, "b": 3.0}, {"a": 0.0}])
@@ -43,10 +47,27 @@ def test_quotas_against_the_loop(spark, docs, weights):
         assert {s: got[(shard, s)] for s in available} == want
 
 
+def test_tied_quotients(spark):
+    """Equal weights, weights with equal quotients at other k, and sources that run out."""
+    r = random.Random(5)
+    cases = [({"a": 24, "b": 240}, {"a": 1.0, "b": 1.0}, 48 / 264), ({"a": 24, "b": 240}, {"a": 1.0, "b": 1.0}, m.KEEP), ({"a": 3, "b": 9, None: 9}, {"a": 1.005, "b": 3.015, None: 1.005}, 0.6)]
+    cases += [({s: r.randint(1, 40) for s in "abcde"}, {s: r.choice([1.0, 3.0, 5.0, 0.7, 2.1]) for s in "abcd"}, r.choice([0.1, 0.5, 0.8, 1.0])) for _ in range(12)]
+    for available, weights, keep in cases:
+        assert quotas(spark, available, weights, keep) == sainte_lague(available, weights, keep)
+    assert quotas(spark, {"a": 24, "b": 240}, {"a": 1.0, "b": 1.0}, 48 / 264) == {"a": 24, "b": 24}
+
+
+def test_tiny_sources_bound_nobody(spark):
+    """However few blocks some sources have, the documented share of all blocks is allotted."""
+    available = {"hot": 900, "mid": 90} | {f"tiny{i}": 1 for i in range(10)}
+    got = quotas(spark, available, {s: n**0.7 for s, n in available.items()})
+    assert sum(got.values()) == 800 and got["mid"] == 90 and all(got[f"tiny{i}"] == 1 for i in range(10))
+
+
 def test_target_weights_hold(spark, docs):
     df = docs(*[(i, "w " * 10, "hot" if i % 10 else "cold") for i in range(4000)])
     w = spark.createDataFrame([("hot", 1.0), ("cold", 1.0)], "source string, weight double")
-    taken = Counter(r.source for r in m.mix(df, weights=w, block_tokens=50).collect())
+    taken = Counter(r.source for r in m.mix(df, weights=w, block_tokens=50, keep=0.2).collect())
     assert taken["cold"] >= 380 and abs(taken["hot"] - taken["cold"]) <= 25
 
 
