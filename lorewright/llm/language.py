@@ -10,20 +10,24 @@ log P(language | row) is, up to a constant, the sum of four parts:
 * address: likewise for the URL's language suffix, the country part of the
   host's last label or a two-letter first path part;
 * host prior: P(language | host), smoothed hierarchically: a host's counts are
-  drawn towards its registered domain's, those towards the whole table's, by
-  pseudo-counts.
+  drawn towards its registered domain's (two labels, three under a shared
+  suffix of ``SHARED_SUFFIXES``), those towards the whole table's, by
+  pseudo-counts.  A host that is its domain's only one is drawn towards the
+  table's straight away, so that no row's decision counts at two levels.
 
 Text models are fitted on a bounded sample of rows with a known language
-(``MAX_LABELLED`` rows a language).  Counts for the host priors and the
+(``MAX_LABELLED`` rows a language, those of lowest hash; all their n-grams).  Counts for the host priors and the
 confusion tables come from all rows by grouped aggregation over the
 text-only decisions.  Documents have no markup and no address; their source
 stands for the host.
 
 Defined results: a null text, or one without a letter, has no text evidence
 and is decided by the other parts, in the end by the prior of the whole table;
-null or unknown markup and suffixes give no evidence; a null host has the
-prior of the whole table; ties go to the first language in order of name;
-repeated rows are each decided and each count; empty tables give empty
+null or unknown markup and suffixes give no evidence (of declared markup the
+primary subtag counts, whatever its length, region and script don't); a null
+host has the prior of the whole table; a very long host is one like any other;
+ties go to the first language in order of name; repeated rows are each decided
+and each count (in the text model, once: by id and text); empty tables give empty
 results; without labelled rows every language is equally likely; other columns
 are ignored.  Every row is kept.
 """
@@ -37,7 +41,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._store import written
 from ._words import segment_sum, slices, text_column, word_codes
@@ -48,6 +52,8 @@ MAX_LABELLED = 2_000
 GRAM_PSEUDO, DOMAIN_PSEUDO, HOST_PSEUDO, TABLE_PSEUDO = 0.5, 20.0, 10.0, 1.0
 #: Two-letter suffixes that stand for a language.
 SUFFIX_LANGUAGE = {"uk": "en", "us": "en", "au": "en", "ie": "en", "at": "de", "ch": "de", "mx": "es", "ar": "es", "be": "fr", "en": "en", "de": "de", "fr": "fr", "es": "es"}
+#: Suffixes under which everybody registers a third label.
+SHARED_SUFFIXES = frozenset("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp or.jp ac.jp co.kr co.in com.br com.ar com.mx com.tr com.cn com.tw co.za com.es org.es com.fr asso.fr example.com example.net example.org github.io gitlab.io blogspot.com wordpress.com herokuapp.com".split())
 ORDER = 4
 #: Words whose likelihoods a worker keeps.
 CACHE_WORDS = 100_000
@@ -117,21 +123,49 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.string()), pa.array(list(totals.values()), pa.int64())], names=["language", "gram", "n"])
 
 
-def fit_text(labelled: DataFrame, max_labelled: int = MAX_LABELLED, min_count: int = 3) -> TextModel:
+def _least(most: int):
+    """A batch's ids of lowest hash by language, ``most`` a language at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            table = table.sort_by([("language", "ascending"), ("_h", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+            if table.num_rows:
+                code = table.column("language").combine_chunks().dictionary_encode().indices.to_numpy()
+                start = np.searchsorted(code, code)
+                held = table.filter(pa.array(np.arange(len(code)) - start < most)).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield held
+
+    return run
+
+
+def sample_ids(known: DataFrame, most: int) -> DataFrame:
+    """(doc_id, language, _h) of the ``most`` rows of lowest hash of every language, in one pass.
+
+    Partitions keep that many a language each before anything is shuffled.
+    """
+    hashed = known.select("doc_id", "language", F.xxhash64("doc_id", F.lit(5)).alias("_h"))
+    least = hashed.mapInArrow(_least(most), hashed.schema)
+    rank = F.row_number().over(Window.partitionBy("language").orderBy("_h", "doc_id"))
+    return least.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
+def fit_text(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> TextModel:
     """Text model from ``labelled`` (doc_id, text, language): at most ``max_labelled`` rows a language, those of lowest hash."""
     known = labelled.where("language IS NOT NULL AND text IS NOT NULL").select("doc_id", "language")
-    chosen = None
-    names = sorted(r[0] for r in known.select("language").distinct().collect())  # as many rows as languages
-    for name in names:
-        own = known.where(F.col("language") == name).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_labelled).select("doc_id")
-        chosen = own if chosen is None else chosen.union(own)
-    if chosen is None:
+    chosen = written(sample_ids(known, max_labelled), "language-sample")
+    names = sorted(r[0] for r in chosen.select("language").distinct().collect())  # as many rows as languages
+    if not names:
         return TextModel([], {}, np.zeros((1, 0)))
     # Bounded by max_labelled ids a language whatever the corpus is, hence broadcast.
-    sample = labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").where("language IS NOT NULL AND text IS NOT NULL").select("text", "language")
+    chosen = chosen.select(F.col("doc_id").alias("_id")).distinct()
+    sample = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").where("language IS NOT NULL AND text IS NOT NULL")
+    sample = sample.select("doc_id", "text", "language").distinct().select("text", "language")
     words = sample.mapInArrow(_count_words, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
     counts = words.mapInArrow(_count_grams, "language string, gram string, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= min_count).toPandas()  # the n-grams of a bounded sample
+    rows = counts.toPandas()  # the n-grams of a bounded sample
     if rows.empty:
         return TextModel(names, {}, np.zeros((1, len(names))))
     column = {name: k for k, name in enumerate(names)}
@@ -175,12 +209,14 @@ def host(url: Column) -> Column:
 
 
 def registered(name: Column) -> Column:
-    """A host's last three labels if it has that many (its registered domain under a shared suffix), else itself."""
-    return F.substring_index(name, ".", -3)
+    """A host's registered domain: its last two labels, three under a shared suffix, or itself if it has fewer."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*sorted(SHARED_SUFFIXES)), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def declared(html: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2})", 1)), F.lit(""))
+    """The primary subtag of the declared language, two or three letters."""
+    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1)), F.lit(""))
 
 
 def suffix(url: Column) -> Column:
@@ -197,15 +233,12 @@ def _argmax(column: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), best)
 
 
-def _log_table(counts: list[tuple], names: list[str]) -> Column:
-    """log P(seen | language) as a map: seen -> array by language, from (seen, language, n) rows."""
+def _log_table(counts: list[tuple], names: list[str]) -> list[tuple[str, list[float]]]:
+    """(seen, log P(seen | language) by language) from (seen, language, n) rows."""
     seen = sorted({r[0] for r in counts})
     n = {(r[0], r[1]): r[2] for r in counts}
     total = {x: sum(n.get((s, x), 0) for s in seen) + TABLE_PSEUDO * (len(seen) + 1) for x in names}
-    items = []
-    for s in seen:
-        items += [F.lit(s), F.array(*[F.lit(float(np.log((n.get((s, x), 0) + TABLE_PSEUDO) / total[x]))) for x in names])]
-    return F.create_map(*items) if items else F.create_map(F.lit(""), F.array(*[F.lit(0.0) for _ in names]))
+    return [(s, [float(np.log((n.get((s, x), 0) + TABLE_PSEUDO) / total[x])) for x in names]) for s in seen]
 
 
 def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -217,25 +250,26 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     by_text = F.when(F.array_max("evidence") > F.array_min("evidence"), _argmax(F.col("evidence"), names))
     rows = rows.withColumn("_text", by_text).withColumn("_domain", registered(F.col("host")))
     told = rows.where("_text IS NOT NULL")
-    # Two-letter codes by languages: fixed by the alphabet, not by the rows.
-    markup = _log_table(told.where("markup IS NOT NULL").groupBy("markup", "_text").count().collect(), names)
-    address = _log_table(told.where("suffix IS NOT NULL").groupBy("suffix", "_text").count().collect(), names)
+    # Codes of two or three letters by languages: bounded by the alphabet, whatever the rows are, hence broadcast.
+    confused = lambda seen: rows.sparkSession.createDataFrame(_log_table(told.where(F.col(seen).isNotNull()).groupBy(seen, "_text").count().collect(), names), f"_of_{seen} string, _log_{seen} array<double>")
+    markup, address = F.broadcast(confused("markup")), F.broadcast(confused("suffix"))
     root = dict(told.groupBy("_text").count().collect())
     n = sum(root.values())
     base = [float((root.get(x, 0) + 1.0) / (n + len(names))) for x in names]
     counts = [F.count_if(F.col("_text") == x).cast("double") for x in names]
     hosts = told.where("host IS NOT NULL").groupBy("host", "_domain").agg(F.array(*counts).alias("c"))
-    domains = hosts.groupBy("_domain").agg(F.array(*[F.sum(F.element_at("c", k + 1)) for k in range(len(names))]).alias("d"))
+    domains = hosts.groupBy("_domain").agg(F.array(*[F.sum(F.element_at("c", k + 1)) for k in range(len(names))]).alias("d"), F.count("*").alias("_hosts"))
     smooth = lambda c, parent, pseudo: F.zip_with(c, parent, lambda a, p: (a + pseudo * p) / (F.aggregate(c, F.lit(0.0), lambda t, x: t + x) + pseudo))
     up = F.array(*[F.lit(b) for b in base])
-    priors = hosts.join(domains, "_domain").select(F.col("host").alias("_host"), F.transform(smooth(F.col("c"), smooth(F.col("d"), up, DOMAIN_PSEUDO), HOST_PSEUDO), lambda p: F.log(p)).alias("_prior"))
+    priors = hosts.join(domains, "_domain").select(F.col("host").alias("_host"), F.transform(smooth(F.col("c"), F.when(F.col("_hosts") > 1, smooth(F.col("d"), up, DOMAIN_PSEUDO)).otherwise(up), HOST_PSEUDO), lambda p: F.log(p)).alias("_prior"))
     prior0 = F.array(*[F.lit(float(np.log(b))) for b in base])
-    out = rows.join(priors, rows.host == priors._host, "left")
+    out = rows.join(markup, rows.markup == markup._of_markup, "left").join(address, rows.suffix == address._of_suffix, "left")
+    out = out.join(priors, rows.host == priors._host, "left")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    post = add(add(F.coalesce("evidence", zero), F.coalesce("_prior", prior0)), add(F.coalesce(F.try_element_at(markup, F.col("markup")), zero), F.coalesce(F.try_element_at(address, F.col("suffix")), zero)))
+    post = add(add(F.coalesce("evidence", zero), F.coalesce("_prior", prior0)), add(F.coalesce("_log_markup", zero), F.coalesce("_log_suffix", zero)))
     out = out.withColumn("_post", post)
     sure = F.aggregate(F.transform("_post", lambda x: F.exp(x - F.array_max("_post"))), F.lit(0.0), lambda t, x: t + x)
-    return out.withColumn("language", _argmax(F.col("_post"), names)).withColumn("confidence", F.round(1 / sure, 6)).drop("_text", "_domain", "_host", "_prior", "_post", "evidence")
+    return out.withColumn("language", _argmax(F.col("_post"), names)).withColumn("confidence", F.round(1 / sure, 6)).drop("_text", "_domain", "_host", "_prior", "_post", "_of_markup", "_log_markup", "_of_suffix", "_log_suffix", "evidence")
 
 
 def identify(docs: DataFrame, pages: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
