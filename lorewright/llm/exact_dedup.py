@@ -9,12 +9,16 @@ Positives (true copies, and 1 in 256 others) are joined with the exact bucket
 of their digest, where texts are compared byte by byte.  Copies inside a batch
 are grouped separately, by digest, and go through the same byte check.
 
-Only digests (8 bytes a document) are shuffled for the screening; texts move
-once, and are compared only in buckets with more than one document.
+Only digests (8 bytes a document) are shuffled for the screening.  Texts of
+suspects alone move, each distinct one once a task: documents that the
+screening clears are dropped at the scan while the suspects' digests are at
+most ``BROADCAST_DIGESTS`` (their number is counted first); beyond, a shuffled
+join on the digest brings them together.
 
 Defined results: a null text, and a row with a null id, is never a copy and is
 always kept; empty texts are copies of each other; of equal texts the lowest
-id is kept; of repeated rows (same id and text) one is kept; an empty table
+id is kept; of repeated rows (same id and text) one is kept; rows of one id
+with different texts are decided each by its own text; an empty table
 gives an empty result; other columns, whatever their names, are carried along
 by :func:`deduplicate` and ignored by :func:`groups`.
 """
@@ -30,6 +34,13 @@ from .fuse import FuseFilter
 
 #: Batches the table is taken in as, and documents of a filter's shard.
 BATCHES, SHARD_DOCS = 4, 500_000
+#: Digests of suspects up to which they are sent to every scan (16 to 32 bytes each in its hash table).
+BROADCAST_DIGESTS = 4_000_000
+
+
+def digest(text: str = "text"):
+    """64 bits of a text, null for a null text."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
 def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -40,7 +51,7 @@ def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         low, high = 0, 0
     batch = F.floor((F.col("doc_id").cast("double") - low) * batches / (float(high) - low + 1)).cast("int")
     shard = F.pmod(F.shiftrightunsigned("digest", 32), F.lit(max(1, -(-n // SHARD_DOCS)))).cast("int")
-    return written(base.select("doc_id", F.xxhash64("text").alias("digest"), batch.alias("batch")).withColumn("shard", shard), "digests")
+    return written(base.select("doc_id", digest().alias("digest"), batch.alias("batch")).withColumn("shard", shard), "digests")
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
@@ -75,34 +86,55 @@ def candidates(table: DataFrame, filters: DataFrame) -> DataFrame:
     return positives.union(inside).distinct()
 
 
+def suspects_of(base: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The rows whose digest is suspect: dropped at the scan if the digests are few enough, by a shuffled join if not."""
+    few = suspects.count() <= BROADCAST_DIGESTS
+    return base.join(F.broadcast(suspects) if few else suspects.hint("merge"), "digest", "left_semi")
+
+
 def copies(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, keep_id, rows): the documents that share their bytes with another row."""
+    """(doc_id, digest, keep_id, rows): the documents that share their bytes with another row."""
     table = digests(docs, batches)
-    suspects = candidates(table, snapshot_filters(table))
-    base = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    bucket = base.join(suspects, "digest", "left_semi")
-    # Equal digest and equal bytes; the join has already brought a digest's rows together.
-    equal = bucket.groupBy("digest", "text").agg(F.collect_list("doc_id").alias("ids")).where(F.size("ids") > 1)
-    return equal.select(F.explode("ids").alias("doc_id"), F.array_min("ids").alias("keep_id")).groupBy("doc_id", "keep_id").agg(F.count("*").alias("rows"))
+    suspects = written(candidates(table, snapshot_filters(table)), "suspects")
+    base = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", digest().alias("digest"))
+    # Equal digest and equal bytes, combined before the shuffle, so that a text of many copies moves once a task.
+    texts = suspects_of(base, suspects).groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    texts = written(texts.drop("text"), "exact-buckets")
+    several = written(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "collisions")
+    # Nearly every digest has one text: its rows are told by the digest alone.
+    found = table.select("doc_id", "digest").join(texts.where("n > 1"), "digest")
+    if not several.isEmpty():
+        bucket = suspects_of(base, several)
+        first = bucket.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+        found = found.join(several, "digest", "left_anti").unionByName(bucket.join(first, ["digest", "text"]).select(*found.columns))
+    return found.groupBy("doc_id", "digest", "keep_id").agg(F.count("*").alias("rows"))
 
 
 def groups(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """A row per row: ``doc_id``, the ``keep_id`` of its group and whether it is a ``duplicate``."""
-    found = copies(docs, batches).select(F.col("doc_id").alias("_id"), "keep_id")
-    ids = docs.select("doc_id")
-    return ids.join(found, ids.doc_id == found._id, "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce(F.col("keep_id") != F.col("doc_id"), F.lit(False)).alias("duplicate"))
+    found = copies(docs, batches).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id")
+    ids = docs.select("doc_id", digest().alias("digest"))
+    return ids.join(found, (ids.doc_id == found._id) & (ids.digest == found._digest), "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce(F.col("keep_id") != F.col("doc_id"), F.lit(False)).alias("duplicate"))
 
 
-def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The documents without copies, with the columns they came with."""
-    found = written(copies(docs, batches), "copies")
-    gone = found.where("doc_id != keep_id").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(gone, docs.doc_id == gone._id, "left_anti")
-    again = found.where("doc_id = keep_id AND rows > 1").select(F.col("doc_id").alias("_id"))
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents that ``found`` (doc_id, digest, gone, rows) leaves: none that is gone, one of repeated rows.
+
+    One anti-join takes out both; of the repeated rows alone, one each comes back.
+    """
+    own = digest()
+    pick = lambda rows: rows.select(F.col("doc_id").alias("_id_"), F.col("digest").alias("_digest_"))
+    match = lambda rows: (docs.doc_id == rows._id_) & (own == rows._digest_)
+    out, again = pick(found.where("gone OR rows > 1")), pick(found.where("NOT gone AND rows > 1"))
+    kept = docs.join(out, match(out), "left_anti")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, kept.doc_id == again._id, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept.doc_id == again._id, "left_anti").unionByName(repeated)
+    return kept.unionByName(docs.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The documents without copies, with the columns they came with."""
+    return without(docs, written(copies(docs, batches).withColumn("gone", F.col("doc_id") != F.col("keep_id")), "copies"))
 
 
 def oracle_sql() -> str:
