@@ -62,3 +62,18 @@ def test_cases(spark):
     assert topk.nearest(df.limit(0)).count() == 0
     with pytest.raises(Exception, match="dimensions"):
         topk.nearest(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<float>")).count()
+
+
+def test_blocks_that_cannot_reach_are_not_read(spark, monkeypatch):
+    """Vectors of falling length: a group stops at the bound, and nothing is exchanged for the products."""
+    r = np.random.default_rng(5)
+    v = r.standard_normal((800, 8))
+    v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True) * 2.0 ** -np.arange(0, 8, 0.01)[:, None] * 4096) / 4096
+    q = topk.Best(np.arange(100), v[:100], np.eye(8), 5, 4)
+    q.offer(q.reach(2.0), np.arange(100), v[:100])
+    assert len(q.reach(1.0)) and not len(q.reach(1e-4))
+    df = frame(spark, range(800), v)
+    found = topk.nearest(df, k=5, block=50, lead=4)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got, want = result(found), brute(list(range(800)), v, 5)
+    assert {i: [x for x, _ in got[i]] for i in got} == {i: [x for x, _ in want[i]] for i in want}
