@@ -6,9 +6,13 @@ become validity intervals (from an addition to the next removal), and every
 capture is joined as of its fetch time with the intervals of its host and the
 host's parent domains that are open at that time.
 
-Only page id, URL and fetch time are read.  The join is an equi-join on the
-domain with the time range as its residual, and the intervals of one (domain,
-path, category) never overlap, so a capture meets each at most once.
+Only page id, URL and fetch time are read.  The distinct hosts, not the
+captures, meet the list, by those of their suffixes alone that have as many
+labels as some listed domain; every listed host gets the array of its
+intervals.  The captures join that, once, by host, and the intervals open at
+the fetch time are told row by row.  A host in every capture costs no more
+than others where the array side is small enough to be sent around, and its
+partition is split at run time where not.
 
 Defined results: a null or unparsable URL has no host and is not blocked; a
 null fetch time matches nothing; hosts are compared without case, port, user
@@ -69,21 +73,29 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def host_rules(hosts: DataFrame, active: DataFrame) -> DataFrame:
+    """(_host, rules): the listed ones of ``hosts`` (_host) with the intervals of their own and their parents' domains."""
+    labels = lambda c: F.size(F.split(c, r"\."))
+    # As many rows as listed domains differ in number of labels.
+    sizes = sorted(r[0] for r in active.select(labels("domain").alias("n")).distinct().collect())
+    suffixes = F.filter(F.array(*[F.when(labels("_host") >= n, F.substring_index("_host", ".", -n)) for n in sizes]).cast("array<string>"), lambda x: x.isNotNull())
+    keys = hosts.select("_host", F.explode(suffixes).alias("_domain"))
+    joined = keys.join(active, F.col("_domain") == F.col("domain"))
+    return joined.groupBy("_host").agg(F.collect_list(F.struct("domain", "path", "category", "valid_from", "valid_to")).alias("_rules"))
+
+
 def evaluate(captures: DataFrame, log: DataFrame) -> DataFrame:
     """page_id, url, fetch_time, ``blocked``, sorted ``categories`` and the listed ``rules`` in force.
 
     ``captures`` has page_id, url and fetch_time.
     """
-    rows = captures.groupBy("page_id", "url", "fetch_time").agg(F.count("*").alias("_n"))  # repeated captures are evaluated once
-    parts = F.split(host_of(F.col("url")), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keys = rows.select("*", path_of(F.col("url")).alias("_path"), F.explode_outer(F.when(host_of(F.col("url")).isNotNull(), suffixes)).alias("_domain"))
-    active = intervals(log)
-    hit = (F.col("_domain") == F.col("domain")) & (F.col("fetch_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_time") < F.col("valid_to"))) & F.col("_path").startswith(F.col("path"))
-    joined = keys.join(active, hit, "left")
-    found = joined.groupBy("page_id", "url", "fetch_time", "_n").agg(F.collect_set("category").alias("c"), F.collect_set(F.concat("domain", "path")).alias("r"))
-    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return found.select("page_id", "url", "fetch_time", (F.size("c") > 0).alias("blocked"), F.array_join(F.array_sort("c"), ",").alias("categories"), F.array_join(F.array_sort("r"), ",").alias("rules"))
+    rows = captures.select("page_id", "url", "fetch_time").withColumn("host", host_of(F.col("url")))
+    rules = host_rules(rows.where("host IS NOT NULL").select(F.col("host").alias("_host")).distinct(), intervals(log))
+    joined = rows.join(rules, rows.host == rules._host, "left").withColumn("_path", path_of(F.col("url")))
+    open_ = lambda r: (F.col("fetch_time") >= r.valid_from) & (r.valid_to.isNull() | (F.col("fetch_time") < r.valid_to)) & F.col("_path").startswith(r.path)
+    hits = joined.withColumn("_hits", F.coalesce(F.filter("_rules", open_), F.array().cast(joined.schema["_rules"].dataType)))
+    told = lambda f: F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", f))), ",")
+    return hits.select("page_id", "url", "fetch_time", (F.size("_hits") > 0).alias("blocked"), told(lambda r: r.category).alias("categories"), told(lambda r: F.concat(r.domain, r.path)).alias("rules"))
 
 
 def oracle_sql() -> str:

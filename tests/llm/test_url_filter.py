@@ -43,3 +43,19 @@ def test_against_replay(spark):
             if when <= t and (host == d or host.endswith("." + d)):
                 (active.add if action == "add" else active.discard)(k)
         assert got[i] == ",".join(sorted(active))
+
+
+def test_one_host_in_every_row_and_long_hosts(spark):
+    log = [("hot.com", "", "x", 1, "add"), ("org", "", "tld", 0, "add")]
+    long = "a." * 60_000 + "hot.com"
+    captures = [("http://hot.com/p", 2)] * 3000 + [(f"http://{long}/", 2), ("http://any.org", 1), ("http://" + "x" * 300_000 + ".org/", 1), ("http://com/", 3)]
+    c, e = frames(spark, captures, log)
+    got = {x.page_id: x.categories for x in u.evaluate(c, e).collect()}
+    assert [got[i] for i in (0, 2999, 3000, 3001, 3002, 3003)] == ["x", "x", "x", "tld", "tld", ""]
+
+
+def test_unlisted_suffixes_meet_no_list(spark):
+    """Only suffixes with as many labels as a listed domain are looked up, so none of ``com`` or ``org``."""
+    c, e = frames(spark, [("http://a.b.bad.com/", 2), ("http://com/", 2)], [("bad.com", "", "x", 1, "add"), ("w.x.y.z", "", "y", 1, "add")])
+    hosts = c.select(u.host_of(c.url).alias("_host"))
+    assert [(x._host, [r.domain for r in x._rules]) for x in u.host_rules(hosts, u.intervals(e)).collect()] == [("a.b.bad.com", ["bad.com"])]
