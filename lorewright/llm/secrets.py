@@ -5,7 +5,8 @@ assigned to a name such as ``password`` or ``api_key``.  A random forest
 (Spark ML) judges each by its length, its character transitions under a
 bigram model of ordinary words, the share of it that dictionary words cover,
 its alphabet, the path (source) it was found under, and the neighbouring
-words.  The forest is fitted on labelled findings; where none are given, on
+words.  The forest is fitted on a table of labelled findings (``LABELLED``),
+the ``MAX_LABELLED`` of lowest hash; where none is given, on
 ``synthetic_findings``: generated keys against identifiers, digests, card
 numbers and placeholders.  Transitions are counted over the words of all
 documents; the dictionary has every word that a part of the corpus (a source,
@@ -14,8 +15,10 @@ documents, so that a hot source doesn't crowd out the words of others.
 
 Defined results: null and empty texts have no findings; a null source is the
 empty path; overlapping candidates count once, the assigned one first; equal
-candidates at different places, and repeated rows, are each reported; null ids
-are kept; an empty table gives an empty result; other columns are ignored.
+candidates at different places, and repeated rows, are each reported; a
+candidate whose probability is the threshold is a secret; null ids are kept;
+labelled findings without a candidate or label don't count, other nulls in
+them read as empty or false, repeated ones count once; an empty table gives an empty result; other columns are ignored.
 The secret itself is never put out, only its place, length and SHA-256.
 """
 
@@ -52,6 +55,7 @@ _WORD = re.compile(r"[A-Za-z]{2,}")
 SECRET_WORDS = frozenset("password passwd passphrase pwd secret token key apikey api auth bearer credential credentials access private login".split())
 PLAIN_WORDS = frozenset("example sample dummy placeholder changeme commit sha md5 checksum digest hash uuid guid revision version build card phone fax order invoice isbn".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "eyJ", "glpat-", "npm_", "ya29.")
+LABELLED = "candidate string, before string, after string, path string, assigned boolean, label int"
 FEATURES = ("length", "transition", "dictionary", "entropy", "digits", "upper", "hex", "classes", "runs", "prefix", "assigned", "quoted", "secret_words", "plain_words", "path_test", "path_config")
 
 
@@ -235,16 +239,30 @@ def by_hash(items, most: int, seed: int = 7) -> list:
     return heapq.nsmallest(most, items, key=lambda x: hashlib.sha256(f"{seed}|{x!r}".encode("utf-8", "surrogatepass")).digest())
 
 
-def train(spark: SparkSession, language: Language, labelled: list[tuple[str, str, str, str, bool, int]] | None = None, seed: int = 7) -> RandomForestClassificationModel:
-    """Forest from labelled findings (candidate, before, after, path, assigned, label), the ``MAX_LABELLED`` of lowest hash at most."""
-    rows = labelled if labelled is not None else synthetic_findings(sorted(by_hash(language.words, 5000)))
-    rows = by_hash(rows, MAX_LABELLED) if len(rows) > MAX_LABELLED else rows
-    table = pa.table({"features": [features(language, *r[:5]) for r in rows], "label": [float(r[5]) for r in rows]})
-    df = spark.createDataFrame(table).select(array_to_vector("features").alias("features"), "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(df)
+def _labelled(language: Language):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *given, label, at = (c.to_pylist() for c in batch.columns)
+            rows = [features(language, c, b or "", a or "", p or "", bool(x)) for c, b, a, p, x in zip(*given)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array([float(y) for y in label]), pa.array(at)], names=["features", "label", "at"])
+
+    return run
+
+
+def train(spark: SparkSession, language: Language, labelled: DataFrame | None = None, seed: int = 7) -> RandomForestClassificationModel:
+    """Forest from a table of ``LABELLED`` findings, the ``MAX_LABELLED`` of lowest hash at most."""
+    if labelled is None:
+        labelled = spark.createDataFrame(synthetic_findings(sorted(by_hash(language.words, 5000))), LABELLED)
+    names = [x.split()[0] for x in LABELLED.split(", ")]
+    rows = labelled.where("length(candidate) > 0 AND label IS NOT NULL").select(*names).distinct().withColumn("at", F.xxhash64(*names, F.lit(seed)))
+    chosen = rows.orderBy("at", *names).limit(MAX_LABELLED)
+    told = chosen.repartition(spark.sparkContext.defaultParallelism, "at").mapInArrow(_labelled(language), "features array<double>, label double, at bigint")
+    # A bounded table in one fixed order: the same forest in every run, however the rows lay.
+    told = told.repartition(1).sortWithinPartitions("at", "features", "label").select(array_to_vector("features").alias("features"), "label")
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(told)
 
 
-def scan(docs: DataFrame, labelled: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, length, sha256, assigned, ``probability`` and the decision ``secret`` of every candidate."""
     language = learn_language(docs)
     model = train(docs.sparkSession, language, labelled)

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def test_language_of_all_documents(docs):
 
 def test_held_out_accuracy(spark):
     rows = s.synthetic_findings(sorted(LANGUAGE.words), 3000, seed=1)
-    model = s.train(spark, LANGUAGE, rows[:2000])
+    model = s.train(spark, LANGUAGE, spark.createDataFrame(rows[:2000], s.LABELLED))
     import pyarrow as pa
     from pyspark.ml.functions import array_to_vector
 
@@ -58,6 +60,70 @@ def test_bare_keys_and_names(spark, docs):
     assert s.candidates("author: somebody authority = somewhere") == []
 
 
+def plain_features(language, text, before, after, path, assigned):
+    """The forest's features by plain loops."""
+    low, i, covered = text.lower(), 0, 0
+    while i < len(low):
+        size = max((n for n in range(4, 17) if i + n <= len(low) and low[i : i + n] in language.words), default=0)
+        covered, i = covered + size, i + max(1, size)
+    kind = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0
+    steps = [language.transition[kind(a), kind(b)] for a, b in zip(low, low[1:])]
+    share = [n / len(text) for n in Counter(text).values()]
+    runs, run = [0], 0
+    for c in text:
+        run = run + 1 if c.isdigit() else 0
+        runs.append(run)
+    near = {w.lower() for side in (before[-s.CONTEXT :], after[: s.CONTEXT]) for w in re.findall("[A-Za-z]{2,}", side)}
+    classes = {"d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in text}
+    return [len(text), sum(steps) / len(steps) if steps else 0, covered / len(text), -sum(p * math.log2(p) for p in share), sum(map(str.isdigit, text)) / len(text), sum(map(str.isupper, text)) / len(text),
+            not set(text) - set("0123456789abcdefABCDEF"), len(classes), max(runs) / len(text), any(map(text.startswith, s.PREFIXES)), assigned, before[-1:] in ('"', "'", "`"),
+            len(near & s.SECRET_WORDS), len(near & s.PLAIN_WORDS), any(x in path.lower() for x in ("test", "example", "sample", "fixture", "docs")), any(x in path.lower() for x in ("config", "env", "deploy", "prod"))]
+
+
+def test_findings_against_brute_force(spark):
+    """Every document scanned by itself, without the vectorised screen, and its features by plain loops."""
+    docs = registry.table(spark, SF, "documents")
+    language = s.learn_language(docs)
+    got = {(r.doc_id, r.start): r for r in s.findings(docs, language).collect()}
+    want = {}
+    for d in docs.collect():
+        for a, b, assigned in s.candidates(d.text):
+            want[(d.doc_id, a)] = (b - a, assigned, plain_features(language, d.text[a:b], d.text[:a], d.text[b:], d.source, assigned))
+    assert got.keys() == want.keys() and len(want) > 30
+    for k, (length, assigned, f) in want.items():
+        assert (got[k].length, got[k].assigned) == (length, assigned) and np.allclose(got[k].features, np.array(f, float))
+
+
+def plain_keys(text):
+    """Maximal runs of key characters that no word character touches, with a digit, by a loop."""
+    inside, out, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.-"), [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in inside:
+            j += 1
+        if j - i >= 16 and any(c.isdigit() for c in text[i:j]) and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")) and not (j < len(text) and (text[j].isalnum() or text[j] == "_")):
+            out.append((i, j, False))
+        i = max(j, i + 1)
+    return out
+
+
+def test_key_candidates_against_a_loop():
+    r = random.Random(4)
+    for _ in range(300):
+        text = " ".join("".join(r.choice("aZ09_+/=-") for _ in range(r.randint(1, 40))) + r.choice(["", "", ",", "é", ";"]) for _ in range(8))
+        assert [x for x in s.candidates(text) if not x[2]] == plain_keys(text)
+
+
+def test_labelled_table(spark):
+    """Nulls, repeats, other columns and order of the labelled table don't matter; the forest is the same."""
+    rows = s.synthetic_findings(["reader", "window"], 400, seed=3)
+    t = spark.createDataFrame(rows, s.LABELLED)
+    odd = spark.createDataFrame([(None, "a", "b", "c", True, 1), ("x1x1x1x1x1x1x1x1", None, None, None, None, None), ("", "", "", "", False, 1)], s.LABELLED)
+    a = s.train(spark, LANGUAGE, t)
+    b = s.train(spark, LANGUAGE, t.union(t).union(odd).withColumn("at", F.lit(1)).withColumn("features", F.lit(2)).repartition(5))
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
 def test_labels_and_words_by_hash():
     words = [f"w{i:05d}" for i in range(9000)]
     got = s.by_hash(words, 900)
