@@ -19,7 +19,10 @@ against brute force is measured in the tests, by distance up to ``TAU``).
 
 Equal fingerprints are collapsed first, so copies cost nothing.  A bucket's
 pairs are explored as a spanning forest: a document that is already reached is
-not compared with its own group again, whatever the bucket's size.  Connected
+not compared with its own group again, whatever the bucket's size.  What a
+large bucket of unlike documents has left after ``EFFORT`` comparisons a member
+is cut into pieces of ``PIECE``, and every two pieces are compared on their
+own, by other workers: no pair is left out.  Connected
 components are found by alternating large and small stars, with a written
 table per round.  A component is then divided by leaders: the lowest id leads,
 takes what lies within ``RADIUS`` bits, the lowest id left leads next, and so
@@ -29,7 +32,9 @@ make one group of unlike ends.
 Defined results: null texts and rows with a null id are groups of their own
 and always kept; texts without a word are hashed whole, so empty texts form
 one group; repeated rows are in one group (of rows with the id kept, one
-stays); the lowest id of a group is kept; an empty table gives an empty
+stays); rows of one id with different texts are decided each by its own text
+(of those in one group, one stays); the
+lowest id of a group is kept; an empty table gives an empty
 result; other columns are carried along by :func:`deduplicate` and ignored by
 :func:`groups`.
 """
@@ -45,6 +50,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import written
 from ._words import mix64, slices, text_column, word_codes
+from .exact_dedup import digest, without
 
 BITS, TAU, RADIUS = 256, 40, 50
 WORDS = ("f0", "f1", "f2", "f3")
@@ -54,6 +60,8 @@ BLOCKS, WEAK = 8, 3
 CUTS = np.array([[4 * q + w for w in range(4)] for q in range(BLOCKS)] + [[8 * w + (q + s * w) % 8 for w in range(4)] for s in (0, 1, 3) for q in range(BLOCKS)])
 #: Places of the weakest bits, 12 in each.
 WEAKEST = tuple(f"weak{i}" for i in range(len(CUTS) * WEAK // 12))
+#: Comparisons a member that one worker spends on a bucket, and members of a piece of what is left.
+EFFORT, PIECE = 256, 2048
 #: Fingerprints whose keys are made at once.
 _KEYED = 2048
 #: Words of a text that the kernel gathers at once.
@@ -99,14 +107,14 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             words, weak = pack(margins(text_column(batch, "text")))
-            own = [batch.column(batch.schema.get_field_index("doc_id")), *map(pa.array, words.T.copy()), *map(pa.array, weak.T.copy())]
-            yield pa.RecordBatch.from_arrays(own, names=["doc_id", *WORDS, *WEAKEST])
+            own = [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest")), *map(pa.array, words.T.copy()), *map(pa.array, weak.T.copy())]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "digest", *WORDS, *WEAKEST])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0 .. f3, weak0 .. weak7) of the rows that have an id and a text."""
-    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprint, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*WORDS, *WEAKEST)))
+    """(doc_id, digest, f0 .. f3, weak0 .. weak7) of the rows that have an id and a text."""
+    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), digest().alias("digest"), "text")
+    return rows.mapInArrow(_fingerprint, "doc_id bigint, digest bigint, " + ", ".join(f"{c} bigint" for c in (*WORDS, *WEAKEST)))
 
 
 def keys(words: np.ndarray, weak: np.ndarray) -> np.ndarray:
@@ -149,13 +157,19 @@ def within(x: np.ndarray, y: np.ndarray, tau: int = TAU) -> np.ndarray:
     return out
 
 
-def forest(ids: np.ndarray, prints: np.ndarray, tau: int = TAU) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of one bucket's pairs within ``tau``."""
-    edges = []
-    left = np.arange(len(ids))
-    while len(left) > 1:
+def forest(ids: np.ndarray, prints: np.ndarray, tau: int = TAU, effort: float = np.inf) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Edges of a spanning forest of one bucket's pairs within ``tau``, and the members that are still to be compared with each other.
+
+    None is where ``effort`` comparisons a member are enough, or the bucket is no larger than a piece.
+    """
+    edges, spent, most = [], 0, np.inf if len(ids) <= PIECE else effort * len(ids)
+    left, stack = np.arange(len(ids)), []
+    while len(left):
         stack, left = [left[0]], left[1:]
         while stack and len(left):
+            if spent > most:
+                return edges, np.r_[np.array(stack, np.int64), left]
+            spent += len(left)
             at = stack.pop()
             near = within(np.broadcast_to(prints[at], (len(left), len(WORDS))), prints[left], tau)
             if near.any():
@@ -163,21 +177,27 @@ def forest(ids: np.ndarray, prints: np.ndarray, tau: int = TAU) -> list[tuple[np
                 edges.append((np.full(len(found), ids[at]), ids[found]))
                 stack.extend(found.tolist())
                 left = left[~near]
-    return edges
+    return edges, left
 
 
 def _runs(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of a stream sorted by the first of them, cut so that no run of its equal values is divided."""
-    rest: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         own = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
-        rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own)]
-        if len(rest[0]):
-            cut = int(np.searchsorted(rest[0], rest[0][-1]))
-            yield [x[:cut] for x in rest]
-            rest = [x[cut:] for x in rest]
-    if rest:
-        yield rest
+        if not len(own[0]):
+            continue
+        cut = int(np.searchsorted(own[0], own[0][-1]))
+        if not cut and held and held[-1][0][-1] != own[0][0]:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        if cut:
+            held.append([x[:cut] for x in own])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([x[cut:] for x in own])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,23 +216,36 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(signature, sizes)[full].astype(np.int64)), pa.array(ids[full])], names=["bucket", "id"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges inside the buckets of a sorted stream."""
-    for key, ids, *words in _runs(("bucket", "id", *WORDS), batches):
-        prints = np.stack(words, axis=1)
-        starts, sizes = _starts(key)
-        two = starts[sizes == 2]
-        near = two[within(prints[two], prints[two + 1])]
-        found = [(ids[near], ids[near + 1])]
-        for a, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            found += forest(ids[a : a + n], prints[a : a + n])
-        a, b = (np.concatenate(x) for x in zip(*found))
-        if len(a):
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-
-def near_pairs(nodes: DataFrame) -> DataFrame:
+def _pairs(effort: float):
+    """Edges (a, b) inside the buckets of a sorted stream; and as (bucket, a, no b) the members of large ones still to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, *words in _runs(("bucket", "id", *WORDS), batches):
+            prints = np.stack(words, axis=1)
+            starts, sizes = _starts(key)
+            two = starts[sizes == 2]
+            near = two[within(prints[two], prints[two + 1])]
+            found = [(ids[near], ids[near + 1])]
+            for a, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+                edges, rest = forest(ids[a : a + n], prints[a : a + n], effort=effort)
+                found += edges
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), key[a])), pa.array(ids[a + rest]), pa.nulls(len(rest), pa.int64())], names=["bucket", "a", "b"])
+            a, b = (np.concatenate(x) for x in zip(*found))
+            if len(a):
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], names=["bucket", "a", "b"])
+
+    return run
+
+
+def _compared(members: DataFrame, nodes: DataFrame, effort: float) -> DataFrame:
+    """Pairs inside the buckets of (bucket, id), as written rows of :func:`_pairs`."""
+    filled = members.join(nodes.select("id", *WORDS), "id").repartition("bucket").sortWithinPartitions("bucket")
+    return written(filled.select("bucket", "id", *WORDS).mapInArrow(_pairs(effort), "bucket bigint, a bigint, b bigint"), "simhash-pairs")
+
+
+def near_pairs(nodes: DataFrame, effort: float = EFFORT) -> DataFrame:
     """Edges (a, b), a < b, that connect near copies among distinct fingerprints.
 
     Only (key, id) of every key is shuffled.  Keys of one document end there;
@@ -220,9 +253,20 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     joined with the fingerprints.
     """
     keyed = nodes.select("id", *WORDS, *WEAKEST).mapInArrow(_keyed, "key bigint, id bigint").repartition("key").sortWithinPartitions("key")
-    buckets = keyed.mapInArrow(_buckets, "bucket bigint, id bigint").distinct()
-    filled = buckets.join(nodes.select("id", *WORDS), "id").repartition("bucket").sortWithinPartitions("bucket")
-    return filled.select("bucket", "id", *WORDS).mapInArrow(_pairs, "a bigint, b bigint").distinct()
+    return compared_in_full(keyed.mapInArrow(_buckets, "bucket bigint, id bigint").distinct(), nodes, effort)
+
+
+def compared_in_full(buckets: DataFrame, nodes: DataFrame, effort: float = EFFORT) -> DataFrame:
+    """Edges (a, b) of the near copies in (bucket, id): first bucket by bucket, then large ones' rests by two pieces each."""
+    found = _compared(buckets, nodes, effort)
+    edges, rest = found.where("b IS NOT NULL"), found.where("b IS NULL").select("bucket", F.col("a").alias("id"))
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("n"))
+    if not sizes.isEmpty():
+        piece = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+        twos = rest.join(sizes, "bucket").withColumn("p", piece).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        twos = twos.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("bucket"), "id")
+        edges = edges.unionByName(_compared(twos, nodes, float("inf")))
+    return edges.select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,44 +288,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _leaders(key: tuple, table: pa.Table) -> pa.Table:
     """Divide a component: the lowest id left leads those within the radius."""
-    ids = table.column("id").to_numpy()
-    order = np.argsort(ids)
-    ids = ids[order]
+    ids, lead = table.column("id").to_numpy(), table.column("lead").to_numpy()
+    order = np.lexsort([ids, lead])
+    ids, lead = ids[order], lead[order]
     prints = np.stack([table.column(c).to_numpy() for c in WORDS], axis=1)[order]
-    leader, left = ids.copy(), np.arange(len(ids))
+    leader, left = lead.copy(), np.arange(len(ids))
     while len(left):
         near = np.bitwise_count((prints[left] ^ prints[left[0]]).view(np.uint64)).sum(axis=1) <= RADIUS
-        leader[left[near]] = ids[left[0]]
+        leader[left[near]] = lead[left[0]]
         left = left[~near]
     return pa.table({"id": ids, "leader": leader})
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, rows) of every row that is in a group, also of one."""
+    """(doc_id, digest, keep_id, rows, gone) of every row that is in a group, also of one.
+
+    Rows are gone that are not their group's first, which is of the lowest id, and of its texts in the group of lowest digest.
+    """
     prints = written(fingerprints(docs), "simhash")
     nodes = prints.groupBy(*WORDS).agg(F.min(F.struct("doc_id", *WEAKEST)).alias("m"))
-    nodes = written(nodes.select(F.col("m.doc_id").alias("id"), *WORDS, *(F.col(f"m.{c}").alias(c) for c in WEAKEST)), "simhash-nodes")
+    nodes = nodes.select(F.col("m.doc_id").alias("id"), *WORDS, *(F.col(f"m.{c}").alias(c) for c in WEAKEST))
+    # Where rows of one id lead several fingerprints, all but the first get a number of their own.
+    again = F.row_number().over(Window.partitionBy("id").orderBy(*WORDS)) > 1
+    nodes = written(nodes.withColumn("lead", F.col("id")).withColumn("id", F.when(again, F.xxhash64("id", *WORDS)).otherwise(F.col("id"))), "simhash-nodes")
     roots = components(near_pairs(nodes))
     roots = roots.union(roots.select(F.col("root").alias("id"), "root")).distinct()
-    led = nodes.join(roots, "id").select("root", "id", *WORDS).groupBy("root").applyInArrow(_leaders, "id bigint, leader bigint")
-    whole = nodes.join(led, "id", "left").select(*WORDS, F.coalesce("leader", "id").alias("keep_id"))
-    return prints.join(whole, list(WORDS)).groupBy("doc_id", "keep_id").agg(F.count("*").alias("rows"))
+    led = nodes.join(roots, "id").select("root", "id", "lead", *WORDS).groupBy("root").applyInArrow(_leaders, "id bigint, leader bigint")
+    whole = nodes.join(led, "id", "left").select(*WORDS, F.coalesce("leader", "lead").alias("keep_id"))
+    rows = prints.join(whole, list(WORDS)).select("doc_id", "digest", "keep_id").repartition("doc_id").groupBy("doc_id", "digest", "keep_id").agg(F.count("*").alias("rows"))
+    first = F.min("digest").over(Window.partitionBy("doc_id", "keep_id"))
+    return rows.withColumn("gone", (F.col("doc_id") != F.col("keep_id")) | (F.col("digest") != first))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """A row per row: ``doc_id``, the ``keep_id`` of its group, and whether it is a ``duplicate``."""
-    found = members(docs).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).withColumnRenamed("doc_id", "_id")
-    ids = docs.select("doc_id")
-    return ids.join(found, ids.doc_id == found._id, "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce(F.col("keep_id") != F.col("doc_id"), F.lit(False)).alias("duplicate"))
+    found = members(docs).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id")
+    ids = docs.select("doc_id", digest().alias("digest"))
+    return ids.join(found, (ids.doc_id == found._id) & (ids.digest == found._digest), "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce(F.col("keep_id") != F.col("doc_id"), F.lit(False)).alias("duplicate"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group, with the columns they came with."""
-    found = written(members(docs), "near-copies")
-    gone = found.where("doc_id != keep_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, docs.doc_id == gone._id, "left_anti")
-    again = found.where("doc_id = keep_id AND rows > 1").select(F.col("doc_id").alias("_id"))
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, kept.doc_id == again._id, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept.doc_id == again._id, "left_anti").unionByName(repeated)
+    return without(docs, written(members(docs), "near-copies"))

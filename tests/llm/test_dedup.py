@@ -51,6 +51,65 @@ def test_equal_digests_with_other_bytes_stay(docs, monkeypatch):
     assert ids(ex.deduplicate(docs("ab", "cd", "ab", "e"))) == [0, 1, 3]
 
 
+@pytest.mark.parametrize("limit", [0, 4_000_000])
+def test_exact_both_ways_to_the_suspects(docs, monkeypatch, limit):
+    """The same result with the suspects' digests broadcast and without."""
+    monkeypatch.setattr(ex, "BROADCAST_DIGESTS", limit)
+    r = random.Random(3)
+    rows = [(i, f"text {r.randrange(90)}") for i in range(300)]
+    first = {}
+    for i, text in rows:
+        first.setdefault(text, i)
+    assert {x.doc_id: x.keep_id for x in ex.groups(docs(*rows)).collect()} == {i: first[t] for i, t in rows}
+    assert ids(ex.deduplicate(docs(*rows))) == sorted(first.values())
+
+
+def test_only_suspects_texts_are_shuffled(spark, docs, capsys):
+    """In the plan of the byte check the text side of the semi-join is not exchanged."""
+    base = docs("a", "b").select("doc_id", "text", ex.digest().alias("digest"))
+    plan = ex.suspects_of(base, base.select("digest").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_one_text_in_every_row(docs):
+    assert ids(ex.deduplicate(docs(*["same text"] * 3000))) == [0]
+    assert sum(x.duplicate for x in ex.groups(docs(*["same text"] * 3000)).collect()) == 2999
+
+
+def test_one_id_over_two_texts(docs):
+    """Decisions go by id and text."""
+    df = docs((1, "a copy"), (5, "a copy"), (5, "another text"), (7, "another text"), (5, "a third"))
+    assert sorted((r.doc_id, r.text) for r in ex.deduplicate(df).collect()) == [(1, "a copy"), (5, "a third"), (5, "another text")]
+    r = random.Random(1)
+    base, other = prose(r, 200), prose(r, 200)
+    rows = [(1, " ".join(base)), (5, " ".join(edited(r, base, 0.01))), (5, " ".join(other)), (7, " ".join(edited(r, other, 0.01)))]
+    assert sorted((x.doc_id, x.text) for x in sh.deduplicate(docs(*rows)).collect()) == [rows[0], rows[2]]
+    near = [(3, " ".join(base)), (3, " ".join(edited(r, base, 0.01))), (4, " ".join(edited(r, base, 0.01)))]
+    assert len(sh.deduplicate(docs(*near)).collect()) == 1
+    lines = [(1, "x\ny\nz"), (1, "y\nq"), (2, "q\nr\nx")]
+    got = sorted((x.doc_id, x.text, x.n_dropped) for x in ln.dedup_lines(docs(*lines)).collect())
+    assert sum(x[2] for x in got) == 3 and sorted("\n".join(x[1] for x in got).split("\n")) == ["q", "r", "x", "y", "z"]
+
+
+def test_line_repeated_rows(docs):
+    """Rows of the same id and text count as one document: each of them keeps what it has first."""
+    got = [(x.doc_id, x.text, x.n_dropped) for x in ln.dedup_lines(docs((1, "a\nb"), (1, "a\nb"), (2, "b\nc"))).orderBy("doc_id").collect()]
+    assert got == [(1, "a\nb", 0), (1, "a\nb", 0), (2, "c", 1)]
+
+
+def test_line_one_line_in_every_document(docs, monkeypatch):
+    """The streams of a shard grow with the lines that probe it, so no task holds a hot line whole."""
+    monkeypatch.setattr(ln, "STREAM_LINES", 100)
+    df = docs(*[f"hot line\nown {i}" for i in range(2000)])
+    lines = ln.line_table(df)
+    index, shards = ln.line_index(lines)
+    assert index.select("salts").first()[0] == 40
+    asked = ln.probes(lines, index, shards).groupBy("shard", "salt").count()
+    assert asked.count() == 40 and max(x["count"] for x in asked.collect()) < 200
+    got = {x.doc_id: x.text for x in ln.dedup_lines(df).collect()}
+    assert got == {0: "hot line\nown 0"} | {i: f"own {i}" for i in range(1, 2000)}
+
+
 def test_line_cases(clashing, docs):
     df = clashing((0, "one\n\ntwo\none"), (1, "two\nthree\n  "), (2, None), (3, ""), (None, "one\none"), (4, "four"))
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in ln.dedup_lines(df).collect()}
@@ -203,6 +262,32 @@ def test_large_group(docs):
     assert len([k for k in kept if k < 700]) == 1 and len([k for k in kept if k >= 700]) == 50
 
 
+def test_large_buckets_are_divided(spark):
+    """Unlike fingerprints in one bucket: what a worker leaves is compared piece by piece, and no pair is lost."""
+    r = np.random.default_rng(7)
+    n = 3000
+    words = r.integers(-(2**63), 2**63 - 1, (n, 4))
+    words[n // 2 :] = words[: n // 2] ^ np.left_shift(np.int64(1), r.integers(0, 60, (n // 2, 4)))  # every print has one twin
+    edges, rest = sh.forest(np.arange(n), words, effort=2)
+    assert len(rest) > sh.PIECE // 2 and len(edges) < n // 2
+    nodes = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    bucket = nodes.selectExpr("CAST(1 AS bigint) AS bucket", "id")
+    want = {(i, i + n // 2) for i in range(n // 2)}
+    for effort in (2, float("inf")):
+        got = sh.compared_in_full(bucket, nodes, effort)
+        assert {(x.a, x.b) for x in got.collect()} == want
+
+
+def test_runs_are_not_divided():
+    r = random.Random(1)
+    keys = sorted(r.choice([1, 1, 1, 2, 5, 9, 9, 12]) for _ in range(500))
+    for size in (1, 3, 50, 600):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(range(i, min(500, i + size)))], names=["k", "v"]) for i in range(0, 500, size)]
+        parts = list(sh._runs(("k", "v"), iter(batches)))
+        assert np.concatenate([p[1] for p in parts]).tolist() == list(range(500))
+        assert all(a[0][-1] != b[0][0] for a, b in zip(parts, parts[1:]))
+
+
 def test_chains_are_divided(docs):
     """Each document shares most words with the next, the ends nothing."""
     r = random.Random(9)
