@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 DOMAIN_CAP, REFS = 500, 20
+PACKAGE = "ability_key string, display_name string, domain string, skills array<struct<skill_key string, display_name string, coverage double, concept_hits array<string>, ku_refs array<string>>>, workflows array<struct<name string, steps array<string>>>, coverage map<string,double>, version string"
 #: Other spellings by which a concept counts as covered.
-ALIASES = {k: v.split() for k, v in (("moat", "护城河"), ("drawdown", "回撤"), ("momentum", "动量 趋势"), ("sharpe ratio", "夏普 sharpe"), ("transformer", "变换器"), ("attention", "注意力"))}
+ALIASES = {k: v.split() for k, v in (("moat", "护城河"), ("drawdown", "回撤 最大回撤"), ("momentum", "动量 趋势"), ("sharpe ratio", "夏普 sharpe"), ("transformer", "变换器"), ("attention", "注意力"), ("value factor", "价值因子 价值 低估"), ("diversification", "分散 多元 分散化"), ("intrinsic value", "内在价值 内生价值"), ("loss aversion", "损失厌恶 亏损"), ("confirmation bias", "确认偏差 确认偏见"))}
 
 
 def pool(ku: DataFrame, taxonomy: DataFrame, limit: int = DOMAIN_CAP) -> DataFrame:
     """(ability_key, ku_id, ord, text): units of an ability's domains, the first ``limit`` of each domain, once each."""
     domains = taxonomy.select("ability_key", F.explode("domains").alias("domain")).distinct()
-    live = ku.where("status != 'deleted' AND ku_type != 'Ability'").join(F.broadcast(domains.select("domain").distinct()), "domain", "left_semi")  # a taxonomy's domains
+    live = ku.where("status != 'deleted' AND ku_type != 'Ability'").join(domains.select("domain").distinct(), "domain", "left_semi")
     first = F.row_number().over(Window.partitionBy("domain").orderBy("ord", "ku_id"))
     text = F.lower(F.concat_ws(" ", "name", "summary", F.array_join("tags", " ")))
     rows = live.withColumn("_r", first).where(F.col("_r") <= limit).select("domain", "ku_id", "ord", text.alias("text"))
-    return rows.join(F.broadcast(domains), "domain").select("ability_key", "ku_id", "ord", "text").distinct()
+    return rows.join(domains, "domain").select("ability_key", "ku_id", "ord", "text").distinct()
 
 
 def checklist(taxonomy: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def write_packages(rows: DataFrame, folder: str) -> None:
 def load_package(spark, folder: str, key: str) -> DataFrame:
     """The compiled package of a key (no row if there is none); stored packages carry no unit list of their own."""
     text = spark.read.text(folder)
-    return text.where(F.col("ability_key") == key).select(F.from_json("value", "ability_key string, display_name string, domain string, skills array<struct<skill_key string, display_name string, coverage double, concept_hits array<string>, ku_refs array<string>>>, workflows array<struct<name string, steps array<string>>>, coverage map<string,double>, version string").alias("p")).select("p.*")
+    return text.where(F.col("ability_key") == key).select(F.from_json("value", PACKAGE).alias("p")).select("p.*")
 
 
 def workflows(taxonomy: DataFrame) -> DataFrame:

@@ -58,11 +58,17 @@ def _snap(text: Column, start: Column) -> Column:
     return F.when(end < F.length(text), F.coalesce(*cuts, end)).otherwise(F.length(text))
 
 
+def starts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row a window, with its ``start``; a text within one window has the start 0."""
+    t = F.col(text)
+    every = F.when(F.length(t) <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length(t) - 1, F.lit(STEP)))
+    return docs.select("*", F.explode(every).alias("start"))
+
+
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, start and snapped end of every window of every text, without blank ones."""
     t = F.col(text)
-    starts = F.when(F.length(t) <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length(t) - 1, F.lit(STEP)))
-    rows = docs.select("*", F.explode(starts).alias("start"))
+    rows = starts(docs, text)
     rows = rows.withColumn("end", F.when(F.length(t) <= WINDOW, F.length(t)).otherwise(_snap(t, F.col("start"))))
     cut = F.substring(t, F.col("start") + 1, F.col("end") - F.col("start"))
     whole = F.length(t) <= WINDOW

@@ -21,9 +21,11 @@ def bfs(rel: DataFrame, start: DataFrame, max_depth: int = 2, rel_types: list[st
 
     Nodes are expanded in the order they were found, edges by ``ord``; a
     node's score is its parent's times weight times 0.7.  All seeds advance
-    together, one join a level.
+    together, one join a level; of several edges to a node only the first is
+    followed.  A level is written before the next, so plans don't grow with
+    the depth.
     """
-    edges = undirected(rel, rel_types)
+    edges = written(undirected(rel, rel_types), "edges")
     seen = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit("").alias("rel_type"), F.array().cast("array<bigint>").alias("path"))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -31,6 +33,10 @@ def bfs(rel: DataFrame, start: DataFrame, max_depth: int = 2, rel_types: list[st
         new = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         first = F.row_number().over(Window.partitionBy("seed", "node").orderBy("path"))
         frontier = new.withColumn("_r", first).where("_r = 1").drop("_r")
+        if depth < max_depth:
+            frontier = written(frontier, "frontier")
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0").drop("path")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize_name
+from ..sources.tables import written
 
 THRESHOLD = 0.62
 
@@ -17,13 +18,22 @@ def trigrams(text: Column) -> Column:
 def near_pairs(items: DataFrame, threshold: float = THRESHOLD, ascii_only: bool = False) -> DataFrame:
     """(a, b, cosine) of items (id, text) whose trigram cosine reaches ``threshold``.
 
-    Texts meet through shared trigrams, so pairs without any never appear.
+    Trigrams are ranked by the number of texts that have them.  A text's
+    commonest ones, as long as their part of its length stays below the
+    threshold, can't make a pair alone, so texts meet only through the rest
+    (the rarest trigram that a pair shares is in the rest of both); nothing
+    that reaches the threshold is lost.  What meets is compared in full.
     """
     t = items.select("id", normalize_name(F.col("text"), ascii_only).alias("t"))
-    g = t.select("id", F.explode(trigrams(F.col("t"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+    g = written(t.select("id", F.explode(trigrams(F.col("t"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n")), "trigrams")
     norm = g.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    other = g.select(F.col("id").alias("b"), "g", F.col("n").alias("nb"))
-    dots = g.withColumnRenamed("id", "a").join(other, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("nb")).alias("dot"))
+    freq = g.groupBy("g").agg(F.count("*").alias("df"))
+    common = Window.partitionBy("id").orderBy(F.desc("df"), "g")
+    own = g.join(freq, "g").join(norm, "id").withColumn("part", F.sqrt(F.sum(F.col("n") * F.col("n")).over(common.rowsBetween(Window.unboundedPreceding, 0)).cast("double")) / F.col("norm"))
+    rest = own.where(F.col("part") >= threshold - 2e-6).select("id", "g")  # the cosine is rounded to six places
+    met = rest.select(F.col("id").alias("a"), "g").join(rest.select(F.col("id").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
+    mine, other = g.withColumnRenamed("id", "a"), g.select(F.col("id").alias("b"), "g", F.col("n").alias("nb"))
+    dots = met.join(mine, "a").join(other, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("n") * F.col("nb")).alias("dot"))
     na, nb = norm.select(F.col("id").alias("a"), F.col("norm").alias("x")), norm.select(F.col("id").alias("b"), F.col("norm").alias("y"))
     return dots.join(na, "a").join(nb, "b").select("a", "b", F.round(F.col("dot") / (F.col("x") * F.col("y")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
 

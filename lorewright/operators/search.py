@@ -1,13 +1,19 @@
 """Keyword, vector and fused search.
 
-An index is three tables (postings, document lengths, term statistics), so a
-new unit adds rows and rebuilds nothing.
+An index is three tables: postings sorted by term, document lengths, and term
+statistics.  New units add rows to the first two and a merge of the third,
+which is as large as the vocabulary; nothing is tokenised or counted again.  A
+query reads the postings of its words alone, by a filter that Parquet prunes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -25,28 +31,44 @@ def document_text(name: Column, summary: Column, tags: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings(id, term, tf), lengths(id, dl, ord)."""
+    """postings(id, term, tf), lengths(id, ord, dl), terms(term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame
 
     def saved(self) -> Index:
-        """The index as written tables, so that texts are tokenised once."""
-        return Index(written(self.postings, "postings"), written(self.lengths, "lengths"))
+        """The index as written tables, postings sorted by term, so that texts are tokenised once."""
+        postings = written(by_term(self.postings), "postings")
+        return Index(postings, written(self.lengths, "lengths"), written(document_frequencies(postings), "terms"))
 
     def union(self, other: Index) -> Index:
         """Append units without touching those indexed."""
-        return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
+        terms = self.terms.unionByName(other.terms).groupBy("term").agg(F.sum("df").alias("df"))
+        return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths), terms)
+
+
+TABLES = ("postings", "lengths", "terms")
+
+
+def by_term(postings: DataFrame) -> DataFrame:
+    """Postings laid so that every term is in one place and files are sorted by it."""
+    return postings.repartition("term").sortWithinPartitions("term", "id")
+
+
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def save(ix: Index, folder: str) -> None:
     """Write an index for other sessions."""
-    ix.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+    by_term(ix.postings).write.mode("overwrite").parquet(f"{folder}/postings")
     ix.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    ix.terms.write.mode("overwrite").parquet(f"{folder}/terms")
 
 
 def load(spark: SparkSession, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
+    return Index(*(spark.read.parquet(f"{folder}/{t}") for t in TABLES))
 
 
 def save_vectors(vectors: DataFrame, folder: str) -> None:
@@ -61,18 +83,32 @@ def load_vectors(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, ord, tokens) to one row a distinct token, and one of the length with no term."""
+    for batch in batches:
+        ids, order, t = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "ord", "t"))
+        flat = t.flatten().dictionary_encode()
+        size = max(1, len(flat.dictionary))
+        row = np.repeat(np.arange(batch.num_rows), t.value_lengths().to_numpy(zero_copy_only=False))
+        at, n = np.unique(row * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at // size)), order.take(pa.array(at // size)), flat.dictionary.take(pa.array(at % size)), pa.array(n, pa.int64())], names=["id", "ord", "term", "n"])
+        yield pa.RecordBatch.from_arrays([ids, order, pa.nulls(batch.num_rows, pa.string()), t.value_lengths().cast(pa.int64())], names=["id", "ord", "term", "n"])
+
+
 def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", order: str | None = None) -> Index:
-    base = written(docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), tokens(F.col(text)).alias("t")), "tokens")
-    postings = base.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return Index(postings, base.select("id", "ord", F.size("t").cast("bigint").alias("dl")))
+    """The index of a table of texts: every text is tokenised and counted where it lies, in one pass that is written."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), tokens(F.col(text)).alias("t"))
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("id", "ord")}
+    counted = written(rows.mapInArrow(_frequencies, f"id {kind['id']}, ord {kind['ord']}, term string, n bigint"), "tokens")
+    postings = counted.where("term IS NOT NULL").select("id", "term", F.col("n").alias("tf"))
+    return Index(postings, counted.where("term IS NULL").select("id", "ord", F.col("n").alias("dl")), document_frequencies(postings))
 
 
 def corpus_stats(ix: Index) -> DataFrame:
-    """One row: n documents, average length, terms and the mean of raw idf."""
+    """One row: n documents, average length, terms and the mean of raw idf; from lengths and term statistics alone."""
     n = ix.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = ix.postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return df.crossJoin(n).groupBy("n", "avgdl").agg(F.count("*").alias("terms"), F.avg(raw).alias("mean_idf"))
+    return ix.terms.crossJoin(n).groupBy("n", "avgdl").agg(F.count("*").alias("terms"), F.avg(raw).alias("mean_idf"))
 
 
 def scores(ix: Index, query: str) -> DataFrame:
@@ -81,14 +117,14 @@ def scores(ix: Index, query: str) -> DataFrame:
     A negative idf becomes EPSILON times the mean idf of the vocabulary.
     """
     spark = ix.postings.sparkSession
-    q = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
-    stats = corpus_stats(ix)
-    hits = ix.postings.join(F.broadcast(q), "term")  # a row per word of the query
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    asked = Counter(spark.range(1).select(tokens(F.lit(query)).alias("t")).first().t)  # the query's own words
+    own = F.col("term").isin(*asked) if asked else F.lit(False)
+    count = F.coalesce(F.try_element_at(F.create_map(*[x for w, n in asked.items() for x in (F.lit(w), F.lit(n))]), F.col("term")), F.lit(0)) if asked else F.lit(0)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.crossJoin(stats).select("term", "avgdl", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"))
-    parts = hits.join(F.broadcast(idf), "term").join(ix.lengths, "id")
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    idf = ix.terms.where(own).crossJoin(corpus_stats(ix)).select("term", "avgdl", (count * F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).alias("weight"))
+    # The words of a query, a row each.
+    parts = ix.postings.where(own).join(F.broadcast(idf), "term").join(ix.lengths, "id")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return parts.groupBy("id", "ord").agg(F.sum(part).alias("score"))
 
 

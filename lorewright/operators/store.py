@@ -180,8 +180,8 @@ class Store:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Append-only tables (event log) keep one folder of parts."""
-        rows.write.mode("append").parquet(f"{self.folder}/{table}/v1")
+        """Add rows to the current snapshot as parts of their own."""
+        rows.write.mode("append").parquet(f"{self.folder}/{table}/v{(self.versions(table) or [1])[-1]}")
 
     def clear(self, tables: dict) -> int:
         """Write empty snapshots; the number of units there were."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as X
 from ..operators import ability, chunk, evolve, extract, graph, identity, nearpairs, relate, search, store, synthesis
 from ..sources import readers
-from ..sources.tables import scratch
+from ..sources.tables import scratch, written
 from ..streaming import crystallize
 from . import views as V
 from .views import CTE
@@ -91,11 +91,11 @@ def events_by_type(spark, sf):
 
 @query(f"""{CTE}, live AS (SELECT * FROM ku WHERE status <> 'deleted')
 SELECT 'type:' || ku_type AS metric, count(*) AS value FROM live GROUP BY ku_type UNION ALL SELECT 'total_kus', count(*) FROM live UNION ALL SELECT 'total_relations', count(*) FROM mentions
-UNION ALL SELECT 'open_conflicts', 0 UNION ALL SELECT 'graph_edges', count(*) FROM (SELECT DISTINCT from_ku, to_ku FROM mentions)
+UNION ALL SELECT 'open_conflicts', count(*) FROM labels WHERE doc_id % 4 = 1 AND quality = 1 UNION ALL SELECT 'graph_edges', count(*) FROM (SELECT DISTINCT from_ku, to_ku FROM mentions)
 UNION ALL SELECT 'graph_nodes', count(*) FROM (SELECT ku_id FROM live UNION SELECT from_ku FROM mentions UNION SELECT to_ku FROM mentions)""")
 def store_stats(spark, sf):
-    none = spark.createDataFrame([], "status string")
-    return store.stats(V.units(spark, sf), V.mentions(spark, sf), none)
+    cards = V.table(spark, sf, "labels").where("doc_id % 4 = 1").select(F.when(F.col("quality") == 1, "open").otherwise("resolved").alias("status"))
+    return store.stats(V.units(spark, sf), V.mentions(spark, sf), cards)
 
 
 @query(f"{CTE} SELECT ku_type, count(*) AS n, min(ku_id) AS first_id FROM ku GROUP BY ku_type")
@@ -202,7 +202,7 @@ def _docs(spark, sf):
 @query("""WITH w AS (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1792 THEN [0] ELSE range(0, length(text), 1568) END) AS start FROM documents)
 SELECT doc_id, CAST(start AS INTEGER) AS start FROM w""")
 def chunk_windows(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.explode(F.when(F.length("text") <= chunk.WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk.STEP)))).alias("start"))
+    return chunk.starts(_docs(spark, sf).select("doc_id", "text")).select("doc_id", "start")
 
 
 _CUTS = ", ".join(f"CASE WHEN contains(seg, {b}) THEN stop - instr(reverse(seg), reverse({b})) + 1 END" for b in ("chr(10) || chr(10)", "'。'", "'！'", "'？'", "'!'", "'?'", "chr(10)", "' '"))
@@ -233,20 +233,18 @@ def txt_chapters(spark, sf):
     return rows.select("doc_id", F.col("chapter").cast("int").alias("chapter"), "sections", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-def _md_sql(column: str) -> str:
-    out = column
-    for pattern, by in X.MARKDOWN:
-        flags = "gm" if pattern.startswith("(?m)") else "g"
-        out = f"regexp_replace({out}, '{pattern.removeprefix('(?m)')}', '{by.replace('$1', chr(92) + '1')}', '{flags}')"
-    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+#: Fences, code, links, images, emphasis, quotes and lists, written out.
+_MD_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+'```[\s\S]*?```', '', 'g'), '`([^`]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\*{1,3}([^*]+)\*{1,3}', '\1', 'g'), '_{1,3}([^_]+)_{1,3}', '\1', 'g'),
+'^>\s*', '', 'gm'), '^[-*+]\s+', '', 'gm'), '^\d+\.\s+', '', 'gm'), '^\s+|\s+$', '', 'g')"""
 
 
-@query(f"SELECT doc_id, md5({_md_sql('text')}) AS text FROM documents")
+@query(f"SELECT doc_id, md5({_MD_SQL}) AS text FROM documents")
 def md_strip(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(X.strip_markdown(F.col("text")).cast("binary")).alias("text"))
 
 
-@query(f"SELECT page_id, CASE WHEN trim(regexp_extract(html, '{X.TITLE}', 1)) <> '' THEN trim(regexp_extract(html, '{X.TITLE}', 1)) ELSE string_split(regexp_replace(url, '/+$', ''), '/')[-1] END AS title FROM pages")
+@query("SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) ELSE string_split(regexp_replace(url, '/+$', ''), '/')[-1] END AS title FROM pages")
 def html_title(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", X.html_title(F.col("html"), F.col("url")).alias("title"))
 
@@ -278,11 +276,17 @@ def extraction_validate(spark, sf):
     return rows.select("doc_id", F.size("x.facts").alias("facts"), F.col("x.claims")[0]["confidence"].alias("confidence"), F.col("x.entities")[0]["type"].alias("entity_type"))
 
 
-@query()
+@query(f"""WITH {_WINDOWS}, k AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM c WHERE trim(content) <> ''),
+s AS (SELECT doc_id, i, content, list_filter(list_transform(string_split_regex(content, '[.!?。！？\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM k WHERE i <= 500),
+f AS (SELECT doc_id, i, list_filter(s, lambda x: regexp_matches(x, '[0-9]'))[1:5] AS facts, list_filter(s, lambda x: NOT regexp_matches(x, '[0-9]'))[1:5] AS claims, CASE WHEN len(s) > 0 THEN string_split_regex(s[1], '\\s+')[1] END AS concept FROM s),
+t AS (SELECT doc_id, i, unnest(w) AS name, unnest(range(len(w))) AS pos FROM (SELECT doc_id, i, string_split_regex(content, '[^\\pL\\pN_]+') AS w FROM s)),
+en AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY pos) AS r FROM (SELECT doc_id, i, name, min(pos) AS pos FROM t WHERE regexp_full_match(name, '[A-Z][a-z]{{3,}}') GROUP BY ALL)),
+u AS (SELECT 'Fact' AS ku_type, doc_id, substr(unnest(facts), 1, 80) AS name FROM f UNION ALL SELECT 'Claim', doc_id, substr(unnest(claims), 1, 80) FROM f UNION ALL SELECT 'Concept', doc_id, concept FROM f WHERE concept IS NOT NULL UNION ALL SELECT 'Entity', doc_id, name FROM en WHERE r <= 5)
+SELECT ku_type, count(*) AS n, count(DISTINCT name) AS names FROM u GROUP BY ku_type UNION ALL SELECT 'Evidence', count(*), count(DISTINCT source) FROM documents WHERE doc_id IN (SELECT doc_id FROM u)""")
 def ingest_pipeline(spark, sf):
     docs = _docs(spark, sf)
     chapters = docs.select("doc_id", F.lit(1).alias("chapter"), F.lit("").alias("title"), "text")
-    found = extract.extract(chunk.chunks(chapters))
+    found = written(extract.extract(chunk.chunks(chapters)), "extractions")
     ku, _ = extract.package(found, docs.select("doc_id", "source", F.col("source").alias("title")), "general")
     return ku.groupBy("ku_type").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
@@ -309,7 +313,8 @@ b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM
 
 
 def _index(spark, sf):
-    return search.index(_docs(spark, sf)).saved()
+    """For one query each text is counted once; the postings need no order for that."""
+    return search.index(_docs(spark, sf))
 
 
 @query(f"WITH {_INDEX} SELECT id, CAST(dl AS BIGINT) AS n_tokens, coalesce(md5(array_to_string(list_sort(t), ' ')), '') AS tokens FROM t JOIN l USING (id)")
@@ -328,6 +333,18 @@ def bm25_search(spark, sf):
     return search.bm25(_index(spark, sf), SEARCH, BM25_TOP)
 
 
+def _appended(spark, sf):
+    """The same index, of which every third document was appended after the others were saved."""
+    docs = _docs(spark, sf)
+    old = search.index(docs.where("doc_id % 3 != 0")).saved()
+    return old.union(search.index(docs.where("doc_id % 3 = 0"))).saved()
+
+
+@query(SQL["bm25_search"])
+def bm25_append(spark, sf):
+    return search.bm25(_appended(spark, sf), SEARCH, BM25_TOP)
+
+
 _VEC = "v AS (SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings)"
 
 
@@ -359,6 +376,13 @@ def rrf_fusion(spark, sf):
     return _fused(spark, sf)
 
 
+@query(SQL["rrf_fusion"])
+def hybrid_append(spark, sf):
+    e, q = _vectors(spark, sf)
+    vectors = e.where("vec_id % 2 = 0").unionByName(e.where("vec_id % 2 = 1"))
+    return search.fuse(search.bm25(_appended(spark, sf), HYBRID, 100), search.vector(vectors, q, top_k=100), top_k=40)
+
+
 def _doc_units(spark, sf):
     rows = V.units(spark, sf).where("ku_type IN ('Claim', 'Fact')")
     return rows.withColumn("ku_id", F.col("ord")).withColumn("extra", F.col("extra").withField("claim_status", F.when(F.col("ord") % 7 == 0, "superseded").otherwise("active")))
@@ -412,6 +436,40 @@ def bfs_decay(spark, sf):
     return graph.bfs(V.tree(spark, sf), seed, 2).select("node", "depth", F.round("score", 6).alias("score"), "rel_type")
 
 
+#: The tree with rings of nations, edges of several types between the same nodes, and loops.
+_WEB = f"""{CTE}, web AS (SELECT * FROM tree UNION ALL SELECT 'N' || n_nationkey, 'N' || ((n_nationkey + 1) % 25), 'NEAR', 0.6, 50000000 + n_nationkey FROM nation UNION ALL SELECT 'N' || n_nationkey, 'N' || ((n_nationkey * 7 + 2) % 25), 'NEAR', 0.5, 60000000 + n_nationkey FROM nation
+UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'ALSO', 0.4, 500 - c_custkey FROM customer UNION ALL SELECT 'N' || n_nationkey, 'N' || ((n_nationkey + 1) % 25), 'HAS', 0.3, 70000000 + n_nationkey FROM nation)"""
+
+
+def _web(depth: int, types: tuple[str, ...]) -> str:
+    few = ", ".join(f"'{t}'" for t in types)
+    return f"""{_WEB}, b AS (SELECT from_ku AS u, to_ku AS v, weight, rel_type, ord FROM web WHERE rel_type IN ({few}) UNION ALL SELECT to_ku, from_ku, weight, rel_type, ord FROM web WHERE rel_type IN ({few})),
+walk(node, depth, score, rel_type, path, seen) AS (SELECT 'N3', 0, 1.0::DOUBLE, '', CAST([] AS BIGINT[]), ['N3'] UNION ALL
+SELECT b.v, w.depth + 1, w.score * b.weight * 0.7, b.rel_type, list_append(w.path, b.ord), list_append(w.seen, b.v) FROM walk w JOIN b ON b.u = w.node WHERE w.depth < {depth} AND NOT list_contains(w.seen, b.v)),
+first AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS r FROM walk)"""
+
+
+@query(f"{_web(2, ('HAS', 'NEAR', 'ALSO'))} SELECT node, CAST(depth AS INTEGER) AS depth, round(score, 6) AS score, rel_type FROM first WHERE r = 1 AND depth > 0")
+def bfs_cycles(spark, sf):
+    return graph.bfs(V.web(spark, sf), spark.range(1).select(F.lit("N3").alias("seed")), 2, ["HAS", "NEAR", "ALSO"]).select("node", "depth", F.round("score", 6).alias("score"), "rel_type")
+
+
+@query(f"{_web(4, ('NEAR',))} SELECT node, CAST(depth AS INTEGER) AS depth, round(score, 6) AS score, rel_type FROM first WHERE r = 1 AND depth > 0")
+def bfs_types(spark, sf):
+    return graph.bfs(V.web(spark, sf), spark.range(1).select(F.lit("N3").alias("seed")), 4, ["NEAR"]).select("node", "depth", F.round("score", 6).alias("score"), "rel_type")
+
+
+@query(f"{_web(3, ('NEAR',))} SELECT node, CAST(depth AS INTEGER) AS depth FROM first WHERE r = 1 AND depth > 0")
+def khop_types(spark, sf):
+    return graph.neighbors(V.web(spark, sf), "N3", 3, "NEAR")
+
+
+@query(f"""{_WEB}, w(node, path) AS (SELECT 'N3', ['N3'] UNION ALL SELECT t.to_ku, list_append(w.path, t.to_ku) FROM w JOIN web t ON t.from_ku = w.node WHERE len(path) < 6 AND t.to_ku LIKE 'N%')
+SELECT array_to_string(path, '>') AS path, true AS reachable, CAST(len(path) - 1 AS INTEGER) AS hops FROM w WHERE node = 'N17' ORDER BY len(path), path LIMIT 1""")
+def shortest_path_cycles(spark, sf):
+    return graph.shortest_path(V.web(spark, sf), "N3", "N17").withColumn("path", F.array_join("path", ">"))
+
+
 @query(f"""{CTE}, goal AS (SELECT 'C' || min(c_custkey) AS g, 'R' || (SELECT n_regionkey FROM nation WHERE n_nationkey = (SELECT c_nationkey FROM customer ORDER BY c_custkey LIMIT 1)) AS s FROM customer),
 w(node, path) AS (SELECT s, [s] FROM goal UNION ALL SELECT t.to_ku, list_append(w.path, t.to_ku) FROM w JOIN tree t ON t.from_ku = w.node WHERE len(path) < 5)
 SELECT array_to_string(path, '>') AS path, true AS reachable, CAST(len(path) - 1 AS INTEGER) AS hops FROM w, goal WHERE node = g ORDER BY len(path) LIMIT 1""")
@@ -449,12 +507,19 @@ def rel_created_by(spark, sf):
     return relate.created_by(_words(spark, sf), V.concepts(spark, sf))
 
 
-_SHORT = "k AS (SELECT ku_id, substr(name, 1, CAST(4 + ord % 9 AS INTEGER)) AS name FROM concepts WHERE ord % 7 = 0)"
+#: Concepts named by one word of the others' names are proper parts of these.
+_PARTS = "w AS (SELECT DISTINCT 'P_' || w AS ku_id, w AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)), k AS (SELECT ku_id, name FROM concepts UNION ALL SELECT ku_id, name FROM w), u AS (SELECT name FROM k GROUP BY name), uu AS (SELECT n.name AS hay, o.name AS needle FROM u n JOIN u o ON length(o.name) >= 2 AND contains(lower(n.name), lower(o.name)) AND lower(n.name) <> lower(o.name)), df AS (SELECT n.ku_id AS from_ku, o.ku_id AS to_ku FROM uu JOIN k n ON n.name = hay JOIN k o ON o.name = needle)"
 
 
-@query(f"{CTE}, {_SHORT} SELECT n.ku_id AS from_ku, o.ku_id AS to_ku, 'DERIVED_FROM' AS rel_type, 0.7::DOUBLE AS weight FROM k n JOIN k o ON n.ku_id <> o.ku_id AND length(o.name) >= 2 AND contains(lower(n.name), lower(o.name)) AND lower(n.name) <> lower(o.name)")
+def _with_parts(spark, sf):
+    c = V.concepts(spark, sf)
+    name = V.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    return c.unionByName(name.select(F.concat(F.lit("P_"), "name").alias("ku_id"), F.lit("Concept").alias("ku_type"), "name"), allowMissingColumns=True)
+
+
+@query(f"{CTE}, {_PARTS} SELECT from_ku, to_ku, 'DERIVED_FROM' AS rel_type, 0.7::DOUBLE AS weight FROM df")
 def rel_derived_from(spark, sf):
-    k = V.concepts(spark, sf).where("ord % 7 = 0").withColumn("name", F.substring(F.col("name"), F.lit(1), (4 + F.col("ord") % 9).cast("int")))
+    k = _with_parts(spark, sf)
     return relate.derived_from(k, k)
 
 
@@ -472,25 +537,31 @@ def rel_mentions(spark, sf):
     return relate.mentions(m.select(F.col("from_ku").alias("evidence"), F.col("to_ku").alias("entity")), m.where("ord % 2 = 0"))
 
 
-@query(f"""{CTE}, {_WORDS}, {_SHORT} SELECT DISTINCT e.ku_id AS from_ku, c.ku_id AS to_ku, 'CREATED_BY' AS rel_type, 0.8::DOUBLE AS weight, 0 AS rule FROM e JOIN concepts c ON c.ord % 7 = 0 AND contains(lower(c.summary), lower(e.name))
-UNION ALL SELECT n.ku_id, o.ku_id, 'DERIVED_FROM', 0.7, 2 FROM k n JOIN k o ON n.ku_id <> o.ku_id AND length(o.name) >= 2 AND contains(lower(n.name), lower(o.name)) AND lower(n.name) <> lower(o.name)""")
+#: Half of the concepts were known before, the other half and all claims and evidence are new.
+@query(f"""{CTE}, {_WORDS}, {_PARTS}, old AS (SELECT ku_id FROM concepts WHERE ord % 2 = 0),
+all3 AS (SELECT e.ku_id AS from_ku, c.ku_id AS to_ku, 'CREATED_BY' AS rel_type, 0.8::DOUBLE AS weight, 0 AS rule FROM e JOIN concepts c ON contains(lower(c.summary), lower(e.name))
+UNION ALL SELECT from_ku, to_ku, 'SUPPORTS', 0.6, 1 FROM supports UNION ALL SELECT from_ku, to_ku, 'DERIVED_FROM', 0.7, 2 FROM df WHERE from_ku NOT IN (SELECT ku_id FROM old)) SELECT DISTINCT * FROM all3""")
 def rel_discover(spark, sf):
-    k = V.concepts(spark, sf).where("ord % 7 = 0").withColumn("name", F.substring(F.col("name"), F.lit(1), (4 + F.col("ord") % 9).cast("int")))
-    new = k.unionByName(_words(spark, sf), allowMissingColumns=True).withColumn("doc_id", F.lit(None).cast("bigint"))
-    return relate.discover(new, new.limit(0))
+    none = F.lit(None).cast("bigint")
+    k = _with_parts(spark, sf).withColumn("doc_id", none)
+    known = k.where("ku_type = 'Concept' AND ord % 2 = 0")
+    docs = _docs(spark, sf).select("doc_id", F.lit("Evidence").alias("ku_type"), V._id("EVD", V.source_number()).alias("ku_id"))
+    claims = V.claims(spark, sf).select(F.col("ord").alias("doc_id"), "ku_type", "ku_id")
+    new = k.where("ord IS NULL OR ord % 2 = 1").unionByName(_words(spark, sf).withColumn("doc_id", none), allowMissingColumns=True)
+    return relate.discover(new.unionByName(docs.unionByName(claims), allowMissingColumns=True), known)
 
 
 # --- claims ---
 
-_NEG = "[" + ", ".join(f"'{w}'" for w in X.NEGATIONS) + "]"
-#: Words of the first 60 characters keep the pairs of a domain few enough for the brute-force SQL.
-_PAIRS = f"""cl AS (SELECT ku_id, domain, confidence, supports, claim_status, ord, list_distinct(list_filter(string_split_regex(lower(substr(summary, 1, 60)), '\\s+'), lambda w: w <> '')) AS w FROM claims),
+_NEG = "['bad', 'false', 'harmful', 'never', 'no', 'not', 'worse', '不', '不好', '差', '无', '非']"
+#: Every two claims of a domain, by all words of their statements.
+_PAIRS = f"""cl AS (SELECT ku_id, domain, confidence, supports, claim_status, ord, list_distinct(list_filter(string_split_regex(lower(summary), '\\s+'), lambda w: w <> '')) AS w FROM claims),
 pr AS (SELECT a.domain, a.ku_id AS a, b.ku_id AS b, len(list_filter(list_intersect(a.w, b.w), lambda x: NOT list_contains({_NEG}, x))) AS overlap, list_has_any(a.w, {_NEG}) <> list_has_any(b.w, {_NEG}) AS against, a.confidence AS conf_a, b.confidence AS conf_b, abs(a.confidence - b.confidence) AS gap, a.supports AS sa, b.supports AS sb FROM cl a JOIN cl b ON a.domain = b.domain AND a.ord < b.ord),
 p AS (SELECT *, CASE WHEN against THEN -0.5::DOUBLE ELSE least(0.8::DOUBLE, overlap * 0.15::DOUBLE) END AS score FROM pr WHERE overlap > 0)"""
 
 
 def _claims(spark, sf):
-    return V.claims(spark, sf).select("ku_id", "domain", "confidence", F.col("extra.supports").alias("supports"), F.col("extra.claim_status").alias("claim_status"), "ord", F.substring("summary", 1, 60).alias("statement"))
+    return V.claims(spark, sf).select("ku_id", "domain", "confidence", F.col("extra.supports").alias("supports"), F.col("extra.claim_status").alias("claim_status"), "ord", F.col("summary").alias("statement"))
 
 
 @query(f"{CTE}, {_PAIRS} SELECT domain, a, b, overlap, round(score, 6) AS score, round(gap, 6) AS gap FROM p")
@@ -513,7 +584,8 @@ def conflict_gap(spark, sf):
     return evolve.gaps(c, evolve.pairs(c)).select("ku_id", F.round("gap", 6).alias("gap"), "conflict")
 
 
-@query(f"{CTE}, {_GAPS} SELECT ku_id, claim_status AS before, CASE WHEN confidence > 0.7 AND NOT conflict THEN 'active' WHEN conflict AND gap < 0.15 THEN 'disputed' WHEN confidence < 0.3 THEN 'rejected' ELSE claim_status END AS after FROM s")
+@query(f"""{CTE}, {_GAPS} SELECT ku_id, claim_status AS before, CASE claim_status WHEN 'pending' THEN CASE WHEN confidence > 0.7 AND NOT conflict THEN 'active' WHEN conflict AND gap < 0.15 THEN 'disputed' WHEN confidence < 0.3 THEN 'rejected' ELSE claim_status END
+WHEN 'active' THEN CASE WHEN conflict AND gap < 0.15 THEN 'disputed' WHEN confidence < 0.3 THEN 'superseded' ELSE claim_status END WHEN 'disputed' THEN CASE WHEN conflict AND gap > 0.2 THEN 'active' ELSE claim_status END ELSE claim_status END AS after FROM s""")
 def claim_transition(spark, sf):
     c = _claims(spark, sf)
     return evolve.transitions(evolve.gaps(c, evolve.pairs(c)))
@@ -546,15 +618,17 @@ def _taxonomy(spark):
 
 def _ability(spark, sf):
     tax = _taxonomy(spark)
-    units = ability.pool(V.units(spark, sf), tax)
+    units = written(ability.pool(V.units(spark, sf), tax), "pool")  # at most 500 units a domain, read by every report
     items = ability.checklist(tax)
     return tax, units, items
 
 
+#: Other spellings of the concepts above, by the SQL.
+_ALIASES = {"momentum": ["动量", "趋势", "momentum"], "drawdown": ["回撤", "最大回撤"], "attention": ["注意力", "attention"], "moat": ["护城河"], "sharpe ratio": ["夏普", "sharpe"], "value factor": ["价值因子", "价值", "低估"], "loss aversion": ["损失厌恶", "亏损"]}
 _DOMAINS = ", ".join(f"('{a}', '{d}')" for a, *_rest in _ABILITIES for d in _rest[2])
 _SKILLS = ", ".join(f"('{a[0]}', '{s}', {str(s in a[4]).lower()}, {a[6]})" for a in _ABILITIES for s in a[4] + a[5])
 _CONCEPTS = ", ".join(f"('{a[0]}', '{s}', '{c}')" for a in _ABILITIES for s, cs in a[7].items() for c in cs)
-_NEEDLES = ", ".join(f"('{c}', '{n}')" for c, n in sorted({(c, n) for a in _ABILITIES for cs in a[7].values() for c in cs for n in [c, *ability.ALIASES.get(c, [])]}))
+_NEEDLES = ", ".join(f"('{c}', '{n}')" for c, n in sorted({(c, n) for a in _ABILITIES for cs in a[7].values() for c in cs for n in [c, *_ALIASES.get(c, [])]}))
 _COVER = f"""dm AS (SELECT * FROM (VALUES {_DOMAINS}) t(ability_key, domain)), sk AS (SELECT * FROM (VALUES {_SKILLS}) t(ability_key, skill, required, min_coverage)), cc AS (SELECT * FROM (VALUES {_CONCEPTS}) t(ability_key, skill, concept)), nd AS (SELECT * FROM (VALUES {_NEEDLES}) t(concept, needle)),
 un AS (SELECT DISTINCT ability_key, ku_id, ord, lower(concat_ws(' ', name, summary, array_to_string(tags, ' '))) AS text FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord, ku_id) AS r FROM ku WHERE status <> 'deleted' AND domain IN (SELECT domain FROM dm)) JOIN dm USING (domain) WHERE r <= 500),
 ht AS (SELECT cc.*, EXISTS (SELECT 1 FROM un, nd WHERE un.ability_key = cc.ability_key AND nd.concept = cc.concept AND contains(un.text, nd.needle)) AS hit FROM cc),
@@ -581,7 +655,7 @@ ch AS (SELECT ability_key, skill, string_agg(concept, ',' ORDER BY concept) AS c
 SELECT ability_key, skill, upper(skill[1]) || skill[2:] AS display_name, CAST(coverage AS DOUBLE) AS coverage, coalesce(concept_hits, '') AS concept_hits, coalesce(ku_refs, '') AS ku_refs FROM cv LEFT JOIN rf USING (ability_key, skill) LEFT JOIN ch USING (ability_key, skill) WHERE coverage > 0""")
 def ability_skills(spark, sf):
     _, units, items = _ability(spark, sf)
-    h = ability.hits(items, units)
+    h = written(ability.hits(items, units), "hits")
     return ability.skills(items, units, ability.coverage(h), h)
 
 
@@ -590,12 +664,15 @@ def ability_workflows(spark, sf):
     return ability.workflows(_taxonomy(spark))
 
 
-@query()
+@query(f"SELECT s.ability_key AS ability_key, skill AS skill_key, s.display_name AS display_name, coverage, concept_hits, ku_refs, '1.0.0' AS version, 1::BIGINT AS workflows FROM ({SQL['ability_skills']}) s JOIN ({SQL['ability_gate']}) g ON s.ability_key = g.ability_key WHERE can_compile")
 def ability_packages(spark, sf):
     tax, units, items = _ability(spark, sf)
-    h = ability.hits(items, units)
-    cov = ability.coverage(h)
-    return ability.packages(tax, ability.skills(items, units, cov, h), ability.report(tax, cov, units))
+    h = written(ability.hits(items, units), "hits")
+    cov = written(ability.coverage(h), "coverage")
+    made = ability.packages(tax, ability.skills(items, units, cov, h), ability.report(tax, cov, units))
+    p = made.select("ability_key", F.from_json("package", ability.PACKAGE).alias("p")).select("ability_key", "p.version", F.size("p.workflows").cast("bigint").alias("workflows"), F.explode("p.skills").alias("s"))
+    joined = lambda c: F.array_join(F.col(f"s.{c}"), ",").alias(c)
+    return p.select("ability_key", "s.skill_key", "s.display_name", "s.coverage", joined("concept_hits"), joined("ku_refs"), "version", "workflows")
 
 
 # --- synthesis, near pairs ---

@@ -47,8 +47,10 @@ def source_number() -> Column:
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    confidence = 0.30 + 0.50 * F.col("quality") + (F.col("doc_id") % 20) / 100.0
-    return _unit(rows, "CLM", "Claim", F.col("doc_id"), F.substring("text", 1, 80), F.col("text"), F.col("lang"), confidence=confidence, claim_status=F.lit("pending"), supports=F.array(_id("EVD", source_number())))
+    confidence = 0.20 + 0.50 * F.col("quality") + (F.col("doc_id") % 25) / 100.0
+    # Claims that were settled before are among those that are new.
+    status = F.when(F.col("doc_id") % 7 == 5, "active").when(F.col("doc_id") % 7 == 6, "disputed").otherwise("pending")
+    return _unit(rows, "CLM", "Claim", F.col("doc_id"), F.substring("text", 1, 80), F.col("text"), F.col("lang"), confidence=confidence, claim_status=status, supports=F.array(_id("EVD", source_number())))
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +92,16 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def web(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree with rings of nations, and edges of several types between the same nodes."""
+    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
+    node = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    k = F.col("n_nationkey")
+    ring = lambda kind, to, weight, base: _rel(n, kind, node("N", k), node("N", to % 25), weight, k + base)
+    also = _rel(c, "ALSO", node("N", F.col("c_nationkey")), node("C", F.col("c_custkey")), 0.4, 500 - F.col("c_custkey"))
+    return tree(spark, sf).union(ring("NEAR", k + 1, 0.6, 50_000_000)).union(ring("NEAR", k * 7 + 2, 0.5, 60_000_000)).union(also).union(ring("HAS", k + 1, 0.3, 70_000_000))
+
+
 _DEAD = "CASE WHEN CAST({n} AS BIGINT) % 29 = 28 THEN 'deleted' ELSE 'active' END AS status"
 
 
@@ -102,7 +114,7 @@ _EVD = "'EVD_' || lpad(substr(source, 4), 8, '0')"
 CTE = "WITH RECURSIVE " + ",\n".join([
     _sql_unit("concepts", "CON", "Concept", "p_partkey", "p_name AS name, p_type AS summary, p_brand AS domain, 1.0::DOUBLE AS confidence, [p_type] AS tags, CAST(NULL AS VARCHAR) AS claim_status, CAST([] AS VARCHAR[]) AS supports", "part"),
     _sql_unit("entities", "ENT", "Entity", "s_suppkey", "s_name AS name, '' AS summary, '' AS domain, 1.0::DOUBLE AS confidence, CAST([] AS VARCHAR[]) AS tags, CAST(NULL AS VARCHAR) AS claim_status, CAST([] AS VARCHAR[]) AS supports", "supplier"),
-    _sql_unit("claims", "CLM", "Claim", "doc_id", f"substr(text, 1, 80) AS name, text AS summary, lang AS domain, 0.30::DOUBLE + 0.50::DOUBLE * quality + (doc_id % 20) / 100.0::DOUBLE AS confidence, CAST([] AS VARCHAR[]) AS tags, 'pending' AS claim_status, [{_EVD}] AS supports", "documents JOIN labels USING (doc_id)"),
+    _sql_unit("claims", "CLM", "Claim", "doc_id", f"substr(text, 1, 80) AS name, text AS summary, lang AS domain, 0.20::DOUBLE + 0.50::DOUBLE * quality + (doc_id % 25) / 100.0::DOUBLE AS confidence, CAST([] AS VARCHAR[]) AS tags, CASE doc_id % 7 WHEN 5 THEN 'active' WHEN 6 THEN 'disputed' ELSE 'pending' END AS claim_status, [{_EVD}] AS supports", "documents JOIN labels USING (doc_id)"),
     _sql_unit("facts", "FCT", "Fact", "doc_id", "substr(text, 1, 80) AS name, text AS summary, '' AS domain, 1.0::DOUBLE AS confidence, CAST([] AS VARCHAR[]) AS tags, CAST(NULL AS VARCHAR) AS claim_status, CAST([] AS VARCHAR[]) AS supports", "documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     _sql_unit("evidence", "EVD", "Evidence", "substr(source, 4)", "source AS name, '' AS summary, '' AS domain, 1.0::DOUBLE AS confidence, CAST([] AS VARCHAR[]) AS tags, CAST(NULL AS VARCHAR) AS claim_status, CAST([] AS VARCHAR[]) AS supports", "(SELECT DISTINCT source FROM documents)"),
     "ku AS (SELECT * FROM concepts UNION ALL SELECT * FROM entities UNION ALL SELECT * FROM claims UNION ALL SELECT * FROM facts UNION ALL SELECT * FROM evidence)",

@@ -15,7 +15,10 @@ CONFLICT_STATUSES = ("open", "resolved", "deferred")
 SOURCE_TYPES = ("Book", "Paper", "Article", "Speech", "Dataset", "Web")
 RELATION_TYPES = ("CREATED_BY", "SUPPORTS", "DERIVED_FROM", "MENTIONS")
 INACTIVE = tuple("deleted disputed rejected superseded".split())
-EVENTS = ("knowledge.created", "claim.status_changed", "conflict.detected", "conflict.resolved", "ability.created")
+EVENTS = (
+    "knowledge.created", "knowledge.updated", "knowledge.merged", "knowledge.deleted", "claim.status_changed", "conflict.detected", "conflict.resolved",
+    "ability.created", "ability.updated", "memory.created", "memory.updated", "memory.deleted", "agent.used_ability",
+)
 
 #: Id prefixes, numbered with eight digits.
 PREFIX = dict(zip((*KU_TYPES, "Relation", "Conflict", "Skill"), "ENT CON FCT CLM EVD ABL REL CFL SKL".split()))

@@ -8,6 +8,7 @@ Ids are hashes of the address, so reading again gives the same ids.
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.text import html_title, html_to_text, strip
 from ..operators.chunk import markdown_title
 from .mobi import blocks as mobi_blocks
+from .tables import written
 
 TEXT_SUFFIXES, MARKDOWN_SUFFIXES, BOOK_SUFFIXES, MOBI_SUFFIXES = (".txt",), (".md", ".markdown"), (".epub",), tuple(".azw .azw3 .mobi".split())
 TAG = re.compile("<[^>]+>")
@@ -38,8 +40,15 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
+class TooLarge(ValueError):
+    """A file or text over the size that is taken in; nothing of its batch is."""
+
+
 def _files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") <= MAX_BYTES)
+    """(source, content); a file over ``MAX_BYTES`` is an error that names it, told from the listing alone."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    if large := rows.where(F.col("length") > MAX_BYTES).select("path", "length").first():
+        raise TooLarge(f"{large.path}: {large.length} bytes, over {MAX_BYTES}")
     return rows.select(F.col("path").alias("source"), "content")
 
 
@@ -186,7 +195,7 @@ def mobi(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return epub(spark, path, glob, mobi_blocks)
 
 
-def pdf_spans(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, int, float, str]]]) -> DataFrame:
+def pdf_spans(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, int, float, str]]], glob: str = "*") -> DataFrame:
     """(doc_id, page, block, size, text) of a PDF's spans by the injected parser."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +203,7 @@ def pdf_spans(spark: SparkSession, path: str, parse: Callable[[bytes], list[tupl
             for source, content in zip(b["source"], b["content"]):
                 yield pd.DataFrame([(source, *span) for span in parse(content)], columns=["source", "page", "block", "size", "text"])
 
-    rows = _files(spark, path).mapInPandas(run, "source string, page int, block int, size double, text string")
+    rows = _files(spark, path, glob).mapInPandas(run, "source string, page int, block int, size double, text string")
     return rows.select(doc_id(F.col("source")).alias("doc_id"), "source", "page", "block", "size", "text")
 
 
@@ -221,10 +230,21 @@ def pdf_title(spans: DataFrame) -> DataFrame:
     return first.groupBy("doc_id").agg(F.max_by(F.trim("text"), F.struct("size", -F.col("block"))).alias("title"))
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Every supported file of a folder by its suffix; others are an error."""
+def pdf(spark: SparkSession, path: str, glob: str, parse: Callable[[bytes], list[tuple[int, int, float, str]]]) -> DataFrame:
+    """PDF files as documents: chapters by the headings' font, as Markdown; titles by the largest text of the first page."""
+    spans = written(pdf_spans(spark, path, parse, glob), "pdf-spans")
+    body = pdf_chapters(spans).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter", "title", "text"))).alias("c"))
+    part = lambda x: F.concat_ws("\n\n", F.when(x["title"] != "", F.concat(F.lit("# "), x["title"])), x["text"])
+    rows = spans.select("doc_id", "source").distinct().join(body, "doc_id").join(pdf_title(spans), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("title", stem(F.col("source"))).alias("title"), "source", F.lit("PDF").alias("doc_type"), F.array_join(F.transform("c", part), "\n\n").alias("text"))
+
+
+def read_any(spark: SparkSession, path: str, parse_pdf: Callable[[bytes], list[tuple[int, int, float, str]]] | None = None) -> DataFrame:
+    """Every supported file of a folder by its suffix; others are an error, and so are PDF files without a parser."""
     listed = spark.read.format("binaryFile").load(path).select(suffix(F.col("path")).alias("s")).distinct()
     known = {s: f for group, f in ((MARKDOWN_SUFFIXES, markdown), (TEXT_SUFFIXES, text), (BOOK_SUFFIXES, epub), (MOBI_SUFFIXES, mobi)) for s in group}
+    if parse_pdf is not None:
+        known[".pdf"] = lambda spark, path, glob: pdf(spark, path, glob, parse_pdf)
     kinds = [r.s for r in listed.collect()]  # suffixes, not files
     if bad := sorted(set(kinds) - set(known)):
         raise ValueError(f"unsupported suffixes: {', '.join(bad)}")
@@ -235,8 +255,15 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def taxonomy(spark: SparkSession, path: str) -> DataFrame:
+#: Names the taxonomy's file where no path is given.
+TAXONOMY_ENV = "LOREWRIGHT_TAXONOMY"
+
+
+def taxonomy(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Abilities from JSON lines or a multi-line array, one object each, in the schema of the engine."""
+    path = path or os.environ.get(TAXONOMY_ENV)
+    if not path:
+        raise ValueError(f"no taxonomy: give a path or set {TAXONOMY_ENV}")
     schema = "ability_key string, display_name string, domain string, domains array<string>, required_skills array<string>, optional_skills array<string>, min_coverage double, workflows array<struct<name string, steps array<string>>>, concept_checklist map<string, array<string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     return rows.withColumn("domains", F.coalesce("domains", F.array("domain")))

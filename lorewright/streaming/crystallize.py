@@ -9,10 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import light_fingerprint
 
-#: Events that have a translator by default.
-MATURED = "memory.matured"
-
-
 def ingest_text(title: Column, content: Column) -> Column:
     """Title and content as one text; blank parts leave no gap."""
     t, c = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(content, F.lit("")))
@@ -33,13 +29,39 @@ def source_string(evidence: Column) -> Column:
     return F.when(e.isNull(), F.lit("knowledge_candidate")).otherwise(own)
 
 
-def translate(events: DataFrame, translators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Candidates of all events with a translator; each maps its events to (ord, title, content, event_refs, …)."""
-    out = None
-    for name, f in translators.items():
-        rows = f(events.where(F.col("event") == name))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+Translator = Callable[[DataFrame], DataFrame]
+MEMORY = "memory_id string, agent_id string, title string, content string, confidence double, domain_hint string"
+
+
+def matured_memory(events: DataFrame) -> DataFrame:
+    """Candidates of ``memory.matured`` events, whose payload is a JSON object; those without content and title are dropped."""
+    p = F.from_json("payload", MEMORY)
+    own = lambda name: F.trim(F.coalesce(p[name], F.lit("")))
+    ref = F.coalesce(p["memory_id"], F.lit(""))
+    evidence = F.struct(F.lit("memory").alias("evidence_type"), ref.alias("source_id"), p["agent_id"].alias("agent"), F.coalesce(p["confidence"], F.lit(1.0)).alias("confidence"))
+    rows = events.select("ord", "event", own("title").alias("title"), F.when(own("content") != "", own("content")).otherwise(own("title")).alias("content"), F.array(evidence).alias("evidence"), F.when(ref != "", F.array(ref)).otherwise(F.array().cast("array<string>")).alias("event_refs"), F.coalesce(p["domain_hint"], F.lit("")).alias("domain_hint"))
+    return rows.where("content != ''")
+
+
+#: Translators by event; others are registered beside them.
+TRANSLATORS: dict[str, Translator] = {"memory.matured": matured_memory}
+
+
+def translate(events: DataFrame, translators: dict[str, Translator] | None = None) -> DataFrame:
+    """Candidates of events (ord, event, payload), each type by its translator.
+
+    Events that no translator takes, or that theirs drops, come out as
+    candidates that are not ``translated``, so that every event has an outcome.
+    """
+    every = TRANSLATORS if translators is None else translators
+    rows = None
+    for name, f in every.items():
+        own = f(events.where(F.col("event") == name)).withColumn("translated", F.lit(True))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    rest = events.select("ord", "event").withColumn("translated", F.lit(False)).withColumn("event_refs", F.array().cast("array<string>"))
+    if rows is None:
+        return rest.withColumn("title", F.lit("")).withColumn("content", F.lit(""))
+    return rows.unionByName(rest.join(rows.select("ord"), "ord", "left_anti"), allowMissingColumns=True)
 
 
 def outcomes(candidates: DataFrame, keep: Column | None = None) -> DataFrame:

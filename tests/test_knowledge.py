@@ -182,5 +182,5 @@ def test_bus(spark, tmp_path):
     bus.publish(spark.range(240).select(F.lit("knowledge.created").alias("event"), F.lit("t").alias("source"), F.col("id").cast("string").alias("payload")))
     assert bus.log().count() == 240 and bus.recent(5).count() == 5
     seen = []
-    bus.subscribe("c", "knowledge.created", lambda b, n: seen.append(b.count()), str(tmp_path / "state")).awaitTermination()
+    bus.subscribe("c", "knowledge.created", lambda b, n: seen.append(b.count()), str(tmp_path / "state"), None).awaitTermination(60)
     assert sum(seen) == 240
