@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,33 +37,39 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Tables written by this process that nobody has dropped yet.
-_WRITTEN: list[str] = []
+#: Tables written by each thread of this process that nobody has dropped yet.
+_OWN = threading.local()
+
+
+def _list() -> list[str]:
+    if not hasattr(_OWN, "paths"):
+        _OWN.paths = []
+    return _OWN.paths
 
 
 def written(rows: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder, read back: a cut of lineage that outlives executors."""
     path = f"{scratch(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    _WRITTEN.append(path)
+    _list().append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def mark() -> int:
-    """A place in the order of written tables, for :func:`drop_written`."""
-    return len(_WRITTEN)
+    """A place in the order of the thread's written tables, for :func:`drop_written`."""
+    return len(_list())
 
 
 def drop_written(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Delete the scratch tables written after ``since``, but for the files of ``keep``; their number.
+    """Delete the scratch tables that this thread wrote after ``since``, but for the files of ``keep``; their number.
 
     For the owner of a job, after the last action that reads them.
     """
     held = {f.rpartition("/")[0] for f in keep.inputFiles()} if keep is not None else set()
     stays = lambda path: any(path.split(":", 1)[-1].lstrip("/") == h.split(":", 1)[-1].lstrip("/") for h in held)
-    gone = [p for p in _WRITTEN[since:] if not stays(p)]
+    gone = [p for p in _list()[since:] if not stays(p)]
     for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p not in gone]
+    _list()[since:] = [p for p in _list()[since:] if p not in gone]
     return len(gone)
