@@ -2,12 +2,13 @@
 
 Everything that must outlive a stage is a Parquet table under
 ``spark.checkpoint.dir``, the folder that all executors share, so a lost
-executor never loses it.  Results read these tables lazily; the folder is
-emptied by whoever owns the job, after its last action.
+executor never loses it.  Results read these tables lazily; whoever owns the
+job drops them after its last action (``drop_written``), as the pipeline does
+after each stage.
 """
 
 from __future__ import annotations
 
-from ..sources.tables import scratch as shared_dir, written
+from ..sources.tables import drop_written, mark, scratch as shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["drop_written", "mark", "shared_dir", "written"]

@@ -45,6 +45,24 @@ def test_stages(spark):
     assert {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, SF).collect()} == ids
 
 
+def test_clashing_columns(spark, clashing):
+    """Other columns go through all stages but the last, whatever their names."""
+    frame = clashing((1, "one text here"), (2, "one text here"), (3, None), (4, ""), (None, "x y"), (5, "you idiot"), (6, "a b"), (6, "a b"))
+    columns = frame.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "/nowhere").cache()
+        assert frame.columns == columns and all(r.keep_id == r.doc_id for r in frame.collect())
+    assert 2 not in [r.doc_id for r in frame.collect()] and 5 not in [r.doc_id for r in frame.collect()]
+    assert corpus_pipeline.sentencepiece(spark, frame, "/nowhere").count() == frame.count()
+
+
+def test_only_the_result_is_left(spark):
+    from lorewright.llm._store import mark
+
+    at = mark()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0 and mark() == at + 1
+
+
 def test_empty_and_odd_documents(spark, docs):
     odd = docs((1, None), (2, ""), (3, "z " * 100_000), (None, "q"), (4, "a b c"), (4, "a b c"))
     for frame in (odd.limit(0), odd):

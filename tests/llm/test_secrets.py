@@ -148,4 +148,6 @@ def test_cases(spark, clashing, docs):
     df = clashing((1, line), (2, None), (3, ""), (4, "w " * 200_000 + line), (None, line), (5, f"{line} {line}"), (1, line)).withColumn("source", F.lit(None).cast("string"))
     got = s.scan(df).collect()
     assert sorted(str(x.doc_id) for x in got) == ["1", "1", "4", "5", "5", "None"] and len({x.sha256 for x in got}) == 1
+    at = got[0].probability  # a candidate at the threshold is a secret
+    assert all(x.secret == (x.probability >= at) for x in s.scan(df, threshold=at).collect()) and any(x.probability == at for x in got)
     assert s.scan(docs().limit(0)).count() == 0

@@ -66,6 +66,12 @@ def test_cases(spark, docs):
     assert t.score(docs().limit(0)).count() == 0
 
 
+def test_score_with_clashing_columns(clashing):
+    df = clashing("you idiot", "a clean text", None).selectExpr("*", "1 AS toxicity", "2 AS clauses")
+    got = sorted((r.doc_id, r.toxic) for r in t.score(df).collect())
+    assert got == [(0, True), (1, False), (2, False)] and t.score(df).columns == ["doc_id", "toxicity", "clauses", "toxic"]
+
+
 def test_drop_keeps_columns(clashing):
     df = clashing("you idiot", "a clean text", None)
     kept = t.drop_toxic(df, t.built_in())
