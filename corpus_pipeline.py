@@ -9,6 +9,14 @@ return the columns of ``documents``:
 3. near_dedup       one document of each SimHash group stays;
 4. source_mix       blocks are apportioned to sources by tempered weights;
 5. sentencepiece    token ids of every document that is left.
+
+Defined results: documents of null or empty text aren't toxic; null texts and
+null ids are no copies and stay, empty texts are copies of each other; of
+repeated rows one stays; null texts count no tokens and go with the block that
+they fall in, a null source is a source of its own; a text of any length is
+taken whole; an empty table gives empty tables.  Columns beyond those of
+``documents``, whatever their names, are carried through all stages but the
+last; the last ignores them.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewright.llm import exact_dedup as exact, mixing, registry, sentencepiece as pieces, simhash, toxicity as toxic
-from lorewright.llm._store import written
+from lorewright.llm._store import drop_written, mark, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = registry.table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; what a stage needed besides is dropped after it."""
+    docs, since = registry.table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, since, keep=docs)
     return docs
