@@ -257,8 +257,8 @@ def train(spark: SparkSession, language: Language, labelled: DataFrame | None =
     rows = labelled.where("length(candidate) > 0 AND label IS NOT NULL").select(*names).distinct().withColumn("at", F.xxhash64(*names, F.lit(seed)))
     chosen = rows.orderBy("at", *names).limit(MAX_LABELLED)
     told = chosen.repartition(spark.sparkContext.defaultParallelism, "at").mapInArrow(_labelled(language), "features array<double>, label double, at bigint")
-    # A bounded table in one fixed order: the same forest in every run, however the rows lay.
-    told = told.repartition(1).sortWithinPartitions("at", "features", "label").select(array_to_vector("features").alias("features"), "label")
+    # A bounded table in one fixed order: the same forest in every run, however the rows lay.  Written, for the fit reads it often.
+    told = written(told.repartition(1).sortWithinPartitions("at", "features", "label"), "labelled-features").select(array_to_vector("features").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(told)
 
 
