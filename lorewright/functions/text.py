@@ -21,11 +21,6 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-def needs_nfkc(c: Column) -> Column:
-    """Strings that NFKC can change: those with a character beyond ASCII."""
-    return c.rlike("[^\\x00-\\x7F]")
-
-
 def normalize_name(c: Column, ascii_only: bool = False) -> Column:
     """NFKC, lower case, letters and numbers only; null reads as empty.
 

@@ -142,7 +142,8 @@ def dot(a: Column, b: Column) -> Column:
 def normalized(v: Column) -> Column:
     """Unit length; the zero vector stays."""
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+    # The length is an element of its own, so that it is computed once a vector.
+    return F.flatten(F.transform(F.array(F.when(norm == 0, 1.0).otherwise(norm)), lambda n: F.transform(v, lambda x: (x / n).cast("float"))))
 
 
 def vector(vectors: DataFrame, query: DataFrame, top_k: int = 10, threshold: float | None = MIN_COSINE, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:

@@ -184,3 +184,20 @@ def test_bus(spark, tmp_path):
     seen = []
     bus.subscribe("c", "knowledge.created", lambda b, n: seen.append(b.count()), str(tmp_path / "state"), None).awaitTermination(60)
     assert sum(seen) == 240
+
+
+def test_unit_length(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<float>")
+    got = [r[0] for r in rows.select(search.normalized(F.col("v"))).collect()]
+    assert [round(x, 6) for x in got[0]] == [0.6, 0.8] and got[1:] == [[0.0, 0.0], [], None]
+
+
+def test_taxonomy_by_environment(spark, tmp_path, monkeypatch):
+    from lorewright.sources import readers
+
+    (tmp_path / "t.json").write_text('[{"ability_key": "a", "display_name": "A", "domain": "d", "required_skills": ["s"], "min_coverage": 0.5}]')
+    monkeypatch.setenv(readers.TAXONOMY_ENV, str(tmp_path / "t.json"))
+    assert [(r.ability_key, r.domains) for r in readers.taxonomy(spark).collect()] == [("a", ["d"])]
+    monkeypatch.delenv(readers.TAXONOMY_ENV)
+    with pytest.raises(ValueError):
+        readers.taxonomy(spark)
