@@ -144,7 +144,7 @@ class Engine:
         more, have = search.index(rows, "ku_id", "text", "ord"), self.store.read("terms", INDEX["terms"])
         self.store.append("postings", search.by_term(more.postings))
         self.store.append("lengths", more.lengths)
-        self.store.append("vectors", rows.select(F.col("ku_id").alias("id"), search.normalized(self.embedder(F.col("long"))).alias("v")))
+        self.store.append("vectors", rows.select(F.col("ku_id").alias("id"), self.embedder(F.col("long")).alias("v")).withColumn("v", search.normalized(F.col("v"))))
         self.store.write("terms", have.unionByName(more.terms).groupBy("term").agg(F.sum("df").alias("df")))
 
     def reindex(self) -> None:
@@ -250,7 +250,7 @@ class Engine:
         words = lambda k: search.bm25(self.index(), text, k)
 
         def vectors(k: int) -> DataFrame:
-            q = self.spark.createDataFrame([(text,)], "t string").select(search.normalized(self.embedder(F.col("t"))).alias("q"))
+            q = self.spark.createDataFrame([(text,)], "t string").select(self.embedder(F.col("t")).alias("q")).withColumn("q", search.normalized(F.col("q")))
             return search.vector(self.store.read("vectors", INDEX["vectors"]), q, k, id_column="id", column="v")
 
         if mode == "bm25":
