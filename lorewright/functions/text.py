@@ -88,7 +88,7 @@ MARKDOWN = (("```" + r"[\s\S]*?" + "```", ""), (r"`([^`]+)`", "$1"), (_BRACKET +
 
 def strip(c: Column) -> Column:
     """White space off both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
 def strip_markdown(c: Column) -> Column:
