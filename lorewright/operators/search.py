@@ -9,11 +9,8 @@ query reads the postings of its words alone, by a filter that Parquet prunes.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -83,23 +80,21 @@ def load_vectors(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, ord, tokens) to one row a distinct token, and one of the length with no term."""
-    for batch in batches:
-        ids, order, t = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "ord", "t"))
-        flat = t.flatten().dictionary_encode()
-        size = max(1, len(flat.dictionary))
-        row = np.repeat(np.arange(batch.num_rows), t.value_lengths().to_numpy(zero_copy_only=False))
-        at, n = np.unique(row * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at // size)), order.take(pa.array(at // size)), flat.dictionary.take(pa.array(at % size)), pa.array(n, pa.int64())], names=["id", "ord", "term", "n"])
-        yield pa.RecordBatch.from_arrays([ids, order, pa.nulls(batch.num_rows, pa.string()), t.value_lengths().cast(pa.int64())], names=["id", "ord", "term", "n"])
+def _frequencies(t: Column) -> Column:
+    """Distinct tokens of a text with their numbers, and one entry of the length with no term; equal tokens are neighbours once sorted."""
+    last = lambda s, i: (i == F.size(s) - 1) | (F.get(s, i) != F.get(s, i + 1))
+    ends = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: last(s, i))
+    entry = lambda s, e: F.transform(e, lambda i, k: F.struct(F.get(s, i).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("bigint").alias("n")))
+    # Elements of their own, so that the tokens are sorted and their ends found once a text.
+    bound = lambda x, f: F.flatten(F.transform(F.array(x), f))
+    counts = bound(F.sort_array(t), lambda s: F.when(F.size(s) > 0, bound(ends(s), lambda e: entry(s, e))).otherwise(F.array().cast("array<struct<term:string,n:bigint>>")))
+    return F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(t).cast("bigint").alias("n"))), counts)
 
 
 def index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", order: str | None = None) -> Index:
-    """The index of a table of texts: every text is tokenised and counted where it lies, in one pass that is written."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), tokens(F.col(text)).alias("t"))
-    kind = {c: rows.schema[c].dataType.simpleString() for c in ("id", "ord")}
-    counted = written(rows.mapInArrow(_frequencies, f"id {kind['id']}, ord {kind['ord']}, term string, n bigint"), "tokens")
+    """The index of a table of texts: every text is tokenised and counted where it lies, in one pass that is written; no Python worker is needed."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(order or id_column).alias("ord"), F.explode(F.flatten(F.transform(F.array(tokens(F.col(text))), _frequencies))).alias("f"))
+    counted = written(rows.select("id", "ord", "f.term", "f.n"), "tokens")
     postings = counted.where("term IS NOT NULL").select("id", "term", F.col("n").alias("tf"))
     return Index(postings, counted.where("term IS NULL").select("id", "ord", F.col("n").alias("dl")), document_frequencies(postings))
 
