@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -12,9 +13,16 @@ _BRACKET, _PAREN = r"\[([^\]]+)\]", r"\([^)]+\)"
 _RUN = "{1,3}"
 #: A page's title element.
 TITLE = "(?i)<title[^>]*>" "([^<]+)</title>"
+#: White space as regular expressions have it.
+WHITE = " \t\n\x0b\f\r"
 CJK = "\\x{4e00}-\\x{9fff}"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it (the optimizer would put the whole expression for each name)."""
+    return F.transform(F.array(c), use)[0]
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC of a batch of strings (Spark has no built-in)."""
@@ -87,8 +95,8 @@ MARKDOWN = (("```" + r"[\s\S]*?" + "```", ""), (r"`([^`]+)`", "$1"), (_BRACKET +
 
 
 def strip(c: Column) -> Column:
-    """White space off both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    """White space, as regular expressions have it, off both ends; only the ends are read."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def strip_markdown(c: Column) -> Column:

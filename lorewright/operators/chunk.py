@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import strip, strip_markdown
+from ..functions.text import WHITE, once, strip, strip_markdown
 
 WINDOW, STEP, LOOK_BACK, MAX_CHUNKS, PARAGRAPHS = 1792, 1568, 100, 500, 10
 BOUNDARIES = ("\n\n", *"。！？!?", "\n", " ")
@@ -50,29 +50,36 @@ def markdown_title(text: Column, fallback: Column) -> Column:
     return F.when(t != "", t).otherwise(fallback)
 
 
-def _snap(text: Column, start: Column) -> Column:
-    """End of the window at ``start``: after the last boundary within the look-back, else a hard cut."""
-    end = start + WINDOW
-    seg = F.substring(text, end - LOOK_BACK + 1, F.lit(LOOK_BACK))
-    cuts = [F.when(F.contains(seg, F.lit(b)), end - F.instr(F.reverse(seg), b[::-1]) + 1) for b in BOUNDARIES]
-    return F.when(end < F.length(text), F.coalesce(*cuts, end)).otherwise(F.length(text))
+def _snap(piece: Column) -> Column:
+    """Characters of a window that goes on: up to the last boundary within the look-back, else all."""
+    cut = lambda seg, b: F.when(F.contains(seg, F.lit(b)), WINDOW - F.instr(F.reverse(seg), b[::-1]) + 1)
+    return once(F.substring(piece, WINDOW - LOOK_BACK + 1, LOOK_BACK), lambda seg: F.coalesce(*[cut(seg, b) for b in BOUNDARIES], F.lit(WINDOW)))
+
+
+def _every(t: Column) -> Column:
+    return F.when(F.length(t) <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length(t) - 1, F.lit(STEP)))
 
 
 def starts(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row a window, with its ``start``; a text within one window has the start 0."""
-    t = F.col(text)
-    every = F.when(F.length(t) <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length(t) - 1, F.lit(STEP)))
-    return docs.select("*", F.explode(every).alias("start"))
+    return docs.select("*", F.explode(_every(F.col(text))).alias("start"))
+
+
+def _window(t: Column, start: Column) -> Column:
+    """(start, end, content); it is cut out of the text once, with a character more that tells whether the text goes on."""
+
+    def cut(piece: Column) -> Column:
+        more = F.length(piece) > WINDOW
+        content = lambda n: F.when((start == 0) & ~more, piece).otherwise(strip(F.substring(piece, F.lit(1), n)))
+        return once(F.when(more, _snap(piece)).otherwise(F.length(piece)), lambda n: F.struct(start.alias("start"), (start + n).alias("end"), content(n).alias("content")))
+
+    return once(F.substring(t, start + 1, F.lit(WINDOW + 1)), cut)
 
 
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, start and snapped end of every window of every text, without blank ones."""
-    t = F.col(text)
-    rows = starts(docs, text)
-    rows = rows.withColumn("end", F.when(F.length(t) <= WINDOW, F.length(t)).otherwise(_snap(t, F.col("start"))))
-    cut = F.substring(t, F.col("start") + 1, F.col("end") - F.col("start"))
-    whole = F.length(t) <= WINDOW
-    return rows.withColumn("content", F.when(whole, cut).otherwise(strip(cut))).where(F.length(strip(F.col("content"))) > 0)
+    every = F.transform(_every(F.col(text)), lambda s: _window(F.col(text), s))
+    return docs.select("*", F.inline(F.filter(every, lambda w: F.ltrim(w["content"], F.lit(WHITE)) != "")))
 
 
 def chunks(chapters: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:

@@ -7,25 +7,33 @@ import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import source_type, strip
+from ..functions.text import once, source_type, strip
 from ..schema import ENTITY_TYPES, EXTRACTION, PREFIX
 
 RAW = "facts array<struct<statement string, source_hint string>>, claims array<struct<statement string, confidence string, domain string>>, entities array<struct<name string, type string, aliases array<string>>>, concepts array<struct<name string, domain string, definition string>>"
 MAX_ITEMS, NAME = 5, 80
+SENTENCE_END, CAPITALISED = re.compile(r"[.!?。！？\n]+"), re.compile(r"\b[A-Z][a-z]{3,}\b")
+#: A character that ``str.isdigit`` takes: those of ``\d`` and 128 more, as ranges (single ones beyond 0xffff are tried one by one).
+DIGIT = re.compile(r"[\d²³¹\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792\U00010a40-\U00010a43\U00010e60-\U00010e68\U00011052-\U0001105a\U0001f100-\U0001f10a]")
 FENCE_START, FENCE_END = "(?m)^```" + r"(?:json)?\s*", "(?m)" + r"\s*```$"
 
 
 def parse(response: Column) -> Column:
     """A model's answer as the raw struct: code fences off, then JSON; null if it isn't JSON."""
-    bare = strip(F.regexp_replace(F.regexp_replace(response, FENCE_START, ""), FENCE_END, ""))
-    return F.from_json(bare, RAW)
+    fenced = F.contains(response, F.lit("```"))
+    bare = F.when(fenced, F.regexp_replace(F.regexp_replace(response, FENCE_START, ""), FENCE_END, "")).otherwise(response)
+    return F.from_json(strip(bare), RAW)
 
 
 def validated(raw: Column) -> Column:
     """The first five items of each kind, without blank ones; confidence within [0, 1], 0.5 if it is none; unknown entity types are persons."""
+    return once(raw, _validated)
+
+
+def _validated(raw: Column) -> Column:
     first = lambda kind: F.slice(F.coalesce(raw[kind], F.array()), 1, MAX_ITEMS)
     text = lambda c: F.coalesce(c, F.lit(""))
     full = lambda field: lambda x: strip(text(x[field])) != ""
@@ -37,16 +45,18 @@ def validated(raw: Column) -> Column:
     entities = F.transform(F.filter(first("entities"), full("name")), lambda x: F.struct(strip(x["name"]).alias("name"), kind(x).alias("type"), F.coalesce(x["aliases"], F.array().cast("array<string>")).alias("aliases")))
     concepts = F.transform(F.filter(first("concepts"), full("name")), lambda x: F.struct(strip(x["name"]).alias("name"), text(x["domain"]).alias("domain"), text(x["definition"]).alias("definition")))
     out = F.struct(facts.alias("facts"), claims.alias("claims"), entities.alias("entities"), concepts.alias("concepts")).cast(EXTRACTION)
-    return F.when(raw.isNotNull() & (F.size(facts) + F.size(claims) + F.size(entities) + F.size(concepts) > 0), out)
+    some = lambda x: F.size(x["facts"]) + F.size(x["claims"]) + F.size(x["entities"]) + F.size(x["concepts"]) > 0
+    return F.when(raw.isNotNull(), once(out, lambda x: F.when(some(x), x)))
 
 
 def rule_extractor(text: str) -> str:
     """A deterministic stand-in for a language model: sentences become facts and claims, capitalised names entities."""
-    sentences = [s.strip() for s in re.split(r"[.!?。！？\n]+", text) if s.strip()]
-    names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))
+    sentences = [s for s in map(str.strip, SENTENCE_END.split(text)) if s]
+    numbered = [bool(DIGIT.search(s)) for s in sentences]
+    names = list(dict.fromkeys(CAPITALISED.findall(text)))
     return json.dumps({
-        "facts": [{"statement": s, "source_hint": ""} for s in sentences if any(c.isdigit() for c in s)],
-        "claims": [{"statement": s, "confidence": round(0.4 + 0.05 * (len(s) % 12), 2), "domain": ""} for s in sentences if not any(c.isdigit() for c in s)],
+        "facts": [{"statement": s, "source_hint": ""} for s, n in zip(sentences, numbered) if n],
+        "claims": [{"statement": s, "confidence": round(0.4 + 0.05 * (len(s) % 12), 2), "domain": ""} for s, n in zip(sentences, numbered) if not n],
         "entities": [{"type": "Person", "name": n, "aliases": []} for n in names],
         "concepts": [{"name": w, "domain": "", "definition": s} for s in sentences[:1] for w in s.split()[:1]],
     }, ensure_ascii=False)
@@ -57,23 +67,28 @@ def extract(chunks: DataFrame, extractor: Callable[[str], str] = rule_extractor,
 
     ``extractor`` runs in Python workers, up to ``concurrency`` calls at once
     (a model's answer is waited for, not computed); a call that fails skips
-    its chunk, and results keep the order of chunks.
+    its chunk, and results keep the order of chunks.  The stand-in computes,
+    so threads would only get in each other's way.
     """
+    together = 1 if extractor is rule_extractor else concurrency
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def safe(text: str) -> str | None:
             try:
                 return extractor(text)
             except Exception:  # noqa: BLE001 - a failed call skips its chunk
                 return None
 
-        with ThreadPoolExecutor(concurrency) as pool:
+        with ThreadPoolExecutor(together) as pool:
             for b in batches:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "chunk_idx": b["chunk_idx"], "response": list(pool.map(safe, b["content"]))})
+                answers = pa.array(list((map if together == 1 else pool.map)(safe, b["content"].to_pylist())), pa.string())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["chunk_idx"], answers], names=["doc_id", "chunk_idx", "response"])
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    rows = chunks.select("doc_id", "chunk_idx", "content").mapInPandas(run, f"doc_id {kind}, chunk_idx int, response string")
-    return rows.select("doc_id", "chunk_idx", validated(parse(F.col("response"))).alias("x")).where("x IS NOT NULL")
+    rows = chunks.select("doc_id", "chunk_idx", "content").mapInArrow(run, f"doc_id {kind}, chunk_idx int, response string")
+    # A filter on x would be pushed below its projection and parse each answer again.
+    some = F.filter(F.array(validated(parse(F.col("response")))), lambda x: x.isNotNull())
+    return rows.select("doc_id", "chunk_idx", F.explode(some).alias("x"))
 
 
 def items(extractions: DataFrame, kind: str) -> DataFrame:
