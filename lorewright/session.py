@@ -114,7 +114,7 @@ class Engine:
         touched = claims.join(claims.where("fresh").select("domain").distinct(), "domain", "left_semi")
         after = written(evolve.folded(touched).select("ku_id", F.col("claim_status").alias("_status"), F.col("confidence").alias("_confidence"), F.col("supports").alias("_supports")), "folded")
         one = lambda side: claims.where("fresh").select(F.col("ku_id").alias(side))
-        pairs = evolve.pairs(touched).where("score < -0.3")
+        pairs = evolve.pairs(touched, opposing=True)
         opposed = pairs.join(one("a"), "a", "left_semi").unionByName(pairs.join(one("b"), "b", "left_semi")).distinct()
         own = F.concat_ws(":", F.lit("CFL"), "claim_a_id", "claim_b_id")
         found = evolve.cards(opposed).select(own.alias("conflict_id"), "claim_a_id", "claim_b_id", "domain", "status", "resolution_strategy", "winner", "loser", F.lit(None).cast("string").alias("resolution_note"), F.lit(None).cast("string").alias("resolved_by"))
